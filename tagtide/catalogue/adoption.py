@@ -11,6 +11,7 @@ from tagtide.operators.series import DAY, tag_week_counts
 from tagtide.operators.shares import first_used_since, ordering_proportion, popular_tags, start_proportions
 from tagtide.plans.adoption import cohort_proportions
 from tagtide.plans.trends import trend_markers as trend_markers_job
+from tagtide.session import durable
 
 CUTOFFS = {"first_hours": "2024-01-01 12:00:00", "second_day": "2024-01-02", "third_day": "2024-01-03"}
 
@@ -62,8 +63,8 @@ chosen AS (
 SELECT cohort, tags, {SHARES_SQL} FROM chosen JOIN adoption USING (tag_name) GROUP BY cohort, tags"""
 )
 def cohort_popular_proportions(spark, sf_dir):
-    adoption, early = event_adoption(spark, sf_dir), event_early(spark, sf_dir)
-    return rounded_shares(cohort_proportions(adoption, early, CUTOFFS))
+    early = durable(event_early(spark, sf_dir))
+    return rounded_shares(cohort_proportions(event_adoption(spark, sf_dir, early), early, CUTOFFS))
 
 
 @query(
@@ -74,7 +75,7 @@ WHERE tag_count > (SELECT median(tag_count) FROM early) AND first_use_date >= TI
 )
 def popular_late_tags(spark, sf_dir):
     """Tags in both lists, the popular ones and those first used since a cut-off."""
-    early = event_early(spark, sf_dir)
+    early = durable(event_early(spark, sf_dir))
     both = common_tags(popular_tags(early), first_used_since(early, "2024-01-02"))
     return keep_listed(early, both)
 

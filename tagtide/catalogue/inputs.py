@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtide.catalogue.registry import table
+from tagtide.catalogue.registry import table, texts
 from tagtide.operators.appearance import early_appearances
 from tagtide.operators.series import DAY, tag_week_counts
 from tagtide.plans.adoption import adoption_table
 from tagtide.plans.trends import platform_series
+from tagtide.session import durable
 
 USES_SQL = """
 uses AS (
@@ -123,8 +124,9 @@ def event_early(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_counts(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
+    """Stored, because a series reads its counts for the calendar, the sums and the zeros."""
     uses = event_uses(spark, sf_dir).filter(F.col("platform") == platform)
-    return tag_week_counts(uses, DAY)
+    return durable(tag_week_counts(uses, DAY))
 
 
 def daily_series(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
@@ -132,9 +134,9 @@ def daily_series(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
     return platform_series(daily_counts(spark, sf_dir, platform), days=DAY).withColumnRenamed("date", "week")
 
 
-def event_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_adoption(spark: SparkSession, sf_dir: str, early: DataFrame | None = None) -> DataFrame:
     return adoption_table(
-        event_early(spark, sf_dir),
+        event_early(spark, sf_dir) if early is None else early,
         votes=daily_series(spark, sf_dir, "SV"),
         trend=daily_series(spark, sf_dir, "GT"),
         days=DAY,
@@ -145,7 +147,7 @@ def event_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
 def post_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a line of a post dump, tagged with its user and its type."""
     written = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return table(spark, sf_dir, "events").select(
+    return texts(spark, sf_dir, "events", "event_id").select(
         F.concat(
             F.lit('  <row Id="'), "event_id", F.lit('" PostTypeId="1" CreationDate="'), written,
             F.lit('" Tags="&lt;user'), "user_id", F.lit("&gt;&lt;"), "event_type", F.lit('&gt;" />'),

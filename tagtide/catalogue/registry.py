@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tagtide.operators.layout import spread
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -32,3 +34,8 @@ def query(sql: str | None) -> Callable[[Run], Run]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, laid out for heavy work per row."""
+    return spread(table(spark, sf_dir, name), key)

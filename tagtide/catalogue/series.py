@@ -18,6 +18,7 @@ from tagtide.operators.series import (
 )
 from tagtide.operators.thresholds import median_since_first, trend_date, votes_date
 from tagtide.plans.trends import align_series, load_trends, platform_series
+from tagtide.session import durable
 
 _ORDER_WEEKS_SQL = """
 order_weeks AS (
@@ -176,7 +177,8 @@ def trend_inner_merge(spark, sf_dir):
     open_lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "O")
     flags = open_lines.groupBy(F.to_date("l_shipdate").alias("date"), F.concat(F.lit('"'), "l_returnflag", F.lit('"')).alias("flag"))
     second = flags.count().groupBy("date").pivot("flag", ['"A"', '"N"', '"R"']).agg(F.max("count"))
-    merged = load_trends([first, second], names_have_quotations=True)
+    # Exports are files; the merge reads them for their shared dates and for their rows.
+    merged = load_trends([durable(first), durable(second)], names_have_quotations=True)
     return merged.dropna(subset=["value"]).withColumn("week", F.col("week").cast("string"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tagtide.catalogue.registry import query, table
+from tagtide.catalogue.registry import query, table, texts
 from tagtide.catalogue.text import TAG_GRAMS_SQL, TAG_TOKENS_SQL
 from tagtide.constants import TAGGING_PUNCTUATION
 from tagtide.functions.text import clean_tokens, ngrams, strip_html
@@ -151,31 +151,33 @@ allowed AS (
 def _text_tags(spark, sf_dir):
     """``(variants, forbidden)`` of the documents."""
     tokens = clean_tokens(strip_html(F.col("text")), punctuation=TAGGING_PUNCTUATION)
-    texts = table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"))
-    grams = texts.select("doc_id", F.explode(F.array_distinct(ngrams(F.col("tokens"), 2, " "))).alias("gram"))
+    docs = texts(spark, sf_dir, "documents", "doc_id").select("doc_id", tokens.alias("tokens"))
+    grams = docs.select("doc_id", F.explode(F.array_distinct(ngrams(F.col("tokens"), 2, " "))).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
     by_size = Window.partitionBy(F.contains("gram", F.lit(" "))).orderBy(F.desc("n"), "gram")
     top = durable(counts.withColumn("place", F.row_number().over(by_size)).filter(F.col("place") <= 50).select("gram"))
     dashed = F.replace("gram", F.lit(" "), F.lit("-"))
     pairs = top.filter(F.contains("gram", F.lit(" ")))
     forbidden = pairs.select(dashed.alias("tag"), F.explode(F.split("gram", " ")).alias("sub_tag")).distinct()
-    return build_variants(top.select(dashed.alias("tag_name")).distinct()), forbidden
+    return durable(build_variants(top.select(dashed.alias("tag_name")).distinct())), forbidden
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.col("text").alias("summary"))
+    return texts(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("entity_id"), F.col("text").alias("summary"))
 
 
-@query(_TAGGED_SQL + " SELECT doc_id AS entity_id, pos, tag FROM matches")
+@query(_TAGGED_SQL + " SELECT doc_id AS entity_id, tag, count(*) AS n FROM matches GROUP BY ALL")
 def tag_mentions_in_documents(spark, sf_dir):
     variants, _ = _text_tags(spark, sf_dir)
-    return tag_mentions(_documents(spark, sf_dir), variants)
+    mentions = tag_mentions(_documents(spark, sf_dir), variants)
+    return mentions.groupBy("entity_id", "tag").agg(F.count("*").alias("n"))
 
 
-@query(_TAGGED_SQL + " SELECT doc_id AS entity_id, pos, tag FROM allowed")
+@query(_TAGGED_SQL + " SELECT doc_id AS entity_id, tag, count(*) AS n FROM allowed GROUP BY ALL")
 def drop_forbidden_tags(spark, sf_dir):
     variants, forbidden = _text_tags(spark, sf_dir)
-    return tag_mentions(_documents(spark, sf_dir), variants, forbidden)
+    mentions = tag_mentions(_documents(spark, sf_dir), variants, forbidden)
+    return mentions.groupBy("entity_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query(

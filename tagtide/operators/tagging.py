@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtide.functions.text import ngram_bag, strip_html
 from tagtide.operators.joins import small_side
 
 
+def longest_variant(variants: DataFrame) -> int:
+    """Number of words of the longest variant; longer n-grams match nothing."""
+    return variants.agg(F.max(F.size(F.split("variant", " ")))).first()[0] or 1
+
+
 def entity_ngrams(
     entities: DataFrame,
     field: str = "summary",
@@ -18,7 +23,7 @@ def entity_ngrams(
     n: int = 4,
     closed_words: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``(entity, pos, ngram)`` of each text, whole."""
+    """``(entity, pos, ngram)`` of each text, whole; ``pos`` is the place in the bag."""
     bag = ngram_bag(strip_html(F.col(field)), n, closed_words)
     return entities.select(entity, F.posexplode(bag).alias("pos", "ngram"))
 
@@ -32,11 +37,19 @@ def match_tags(ngrams: DataFrame, variants: DataFrame, entity: str = "entity_id"
 def drop_forbidden(matches: DataFrame, forbidden: DataFrame, entity: str = "entity_id") -> DataFrame:
     """Remove tags that another tag of the same entity forbids, wherever they were seen.
 
-    ``forbidden`` has ``(tag, sub_tag)``.
+    ``forbidden`` has ``(tag, sub_tag)``. Each match also sends a ban to its entity's sub-tags,
+    so that bans and matches meet in one shuffle and the texts are read once. A window holds the
+    matches of one tag in one text.
     """
-    lookup = small_side(forbidden.select("tag", "sub_tag"))
-    banned = matches.join(lookup, "tag").select(entity, F.col("sub_tag").alias("tag")).distinct()
-    return matches.join(banned, [entity, "tag"], "left_anti")
+    lookup = small_side(forbidden.groupBy("tag").agg(F.collect_set("sub_tag").alias("_sub_tags")))
+    match = F.struct("pos", "tag", F.lit(False).alias("_ban"))
+    bans = F.transform(
+        F.coalesce("_sub_tags", F.array().cast("array<string>")),
+        lambda sub: F.struct(F.lit(None).cast("int").alias("pos"), sub.alias("tag"), F.lit(True).alias("_ban")),
+    )
+    rows = matches.join(lookup, "tag", "left").select(entity, F.inline(F.concat(F.array(match), bans)))
+    banned = F.max("_ban").over(Window.partitionBy(entity, "tag"))
+    return rows.withColumn("_banned", banned).filter(~F.col("_banned")).select(entity, "pos", "tag")
 
 
 def collect_tags(entities: DataFrame, matches: DataFrame, into: str, entity: str = "entity_id") -> DataFrame:

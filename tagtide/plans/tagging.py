@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 
 from tagtide.operators.dictionary import build_variants, live_synonyms, main_tags, tag_length_histogram, usable_tags
-from tagtide.operators.tagging import collect_tags, drop_forbidden, entity_ngrams, match_tags
+from tagtide.operators.tagging import collect_tags, drop_forbidden, entity_ngrams, longest_variant, match_tags
 
 
 class TagDictionary(NamedTuple):
@@ -41,8 +41,13 @@ def tag_mentions(
     entity: str = "entity_id",
     closed_words: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``(entity, pos, tag)``: every mention of a tag that no other tag of the text forbids."""
-    matches = match_tags(entity_ngrams(entities, field, entity, n, closed_words), variants, entity)
+    """``(entity, pos, tag)``: every mention of a tag that no other tag of the text forbids.
+
+    ``pos`` orders the mentions of a text: longer n-grams first, then by place. ``variants`` is
+    read a few times and should be a stored table.
+    """
+    size = min(n, longest_variant(variants))
+    matches = match_tags(entity_ngrams(entities, field, entity, size, closed_words), variants, entity)
     return matches if forbidden is None else drop_forbidden(matches, forbidden, entity)
 
 
