@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from tagtide.catalogue.registry import table, texts
 from tagtide.operators.appearance import early_appearances
-from tagtide.operators.series import DAY, tag_week_counts
+from tagtide.operators.series import DAY, resample, tag_week_counts
 from tagtide.plans.adoption import adoption_table
-from tagtide.plans.trends import platform_series
 from tagtide.session import durable
 
 USES_SQL = """
@@ -124,14 +123,14 @@ def event_early(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_counts(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
-    """Stored, because a series reads its counts for the calendar, the sums and the zeros."""
+    """Stored, because a series reads its counts for the calendar and for the sums."""
     uses = event_uses(spark, sf_dir).filter(F.col("platform") == platform)
     return durable(tag_week_counts(uses, DAY))
 
 
 def daily_series(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
-    """``(tag, week, value)``, one row per tag and day."""
-    return platform_series(daily_counts(spark, sf_dir, platform), days=DAY).withColumnRenamed("date", "week")
+    """``(tag, week, value)``, one row per tag and day with uses; other days are zero."""
+    return resample(daily_counts(spark, sf_dir, platform), days=DAY).withColumnRenamed("date", "week")
 
 
 def event_adoption(spark: SparkSession, sf_dir: str, early: DataFrame | None = None) -> DataFrame:

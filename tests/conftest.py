@@ -41,6 +41,11 @@ def one(spark):
     return run
 
 
+def ordered(tuples):
+    """Sorted, nulls last."""
+    return sorted(tuples, key=lambda row: [(value is None, 0 if value is None else value) for value in row])
+
+
 def rows(df):
     """Rows as a sorted list of tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)
+    return ordered(tuple(r) for r in df.collect())

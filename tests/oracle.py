@@ -35,11 +35,10 @@ def sorted_rows(columns, rows):
     return sorted([tuple(plain(row[i]) for i in order) for row in rows], key=repr)
 
 
-def difference(spark, query, sf_dir: str, con=None) -> str | None:
-    """None if both sides have the same columns and rows, else what differs."""
-    df = query.run(spark, sf_dir)
+def difference(df, sql: str, con) -> str | None:
+    """None if both sides have the same columns, types and rows, else what differs."""
     mine = sorted_rows(df.columns, df.collect())
-    answer = (con or connect(sf_dir)).execute(query.sql)
+    answer = con.execute(sql)
     names = [d[0] for d in answer.description]
     theirs = sorted_rows(names, answer.fetchall())
     if sorted(df.columns) != sorted(names):
@@ -49,7 +48,7 @@ def difference(spark, query, sf_dir: str, con=None) -> str | None:
         only_theirs = [r for r in theirs if r not in set(mine)][:3]
         return f"{len(mine)} and {len(theirs)} rows; only here {only_mine}; only there {only_theirs}"
     kinds = {d[0]: str(d[1]) for d in answer.description}
-    types = {c: t for c, t in df.dtypes}
+    types = dict(df.dtypes)
     return None if _same_types(types, kinds) else f"types {types} and {kinds}"
 
 
