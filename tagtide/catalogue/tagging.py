@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagtide.catalogue.registry import query, table, texts
-from tagtide.catalogue.text import TAG_GRAMS_SQL, TAG_TOKENS_SQL
+from tagtide.catalogue.text import TAG_GRAMS_SQL
 from tagtide.constants import TAGGING_PUNCTUATION
 from tagtide.functions.text import clean_tokens, ngrams, strip_html
 from tagtide.functions.variants import tag_variants
@@ -119,26 +119,20 @@ def tag_length_histogram(spark, sf_dir):
 # The tags of a text collection: its 50 words and 50 pairs of words that most texts have.
 # A pair forbids each of its words.
 _TAGGED_SQL = f"""
-WITH t AS (SELECT doc_id, {TAG_TOKENS_SQL} AS tokens FROM documents),
-words AS (
-  SELECT word FROM (SELECT DISTINCT doc_id, unnest(tokens) AS word FROM t)
-  GROUP BY word ORDER BY count(*) DESC, word LIMIT 50
+WITH {TAG_GRAMS_SQL},
+top_words AS (
+  SELECT w AS word FROM following GROUP BY w ORDER BY count(DISTINCT doc_id) DESC, w LIMIT 50
 ),
 pairs AS (
-  SELECT pair FROM (
-    SELECT DISTINCT doc_id,
-           unnest(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1])) AS pair FROM t
-  ) GROUP BY pair ORDER BY count(*) DESC, pair LIMIT 50
+  SELECT gram AS pair FROM grams WHERE k = 2 GROUP BY gram ORDER BY count(DISTINCT doc_id) DESC, gram LIMIT 50
 ),
-names AS (SELECT word AS tag_name FROM words UNION SELECT replace(pair, ' ', '-') FROM pairs),
+names AS (SELECT word AS tag_name FROM top_words UNION SELECT replace(pair, ' ', '-') FROM pairs),
 variants AS (
   SELECT variant, min(tag_name) FILTER (variant = tag_name) AS exact, min(tag_name) AS derived
   FROM ({variants_sql("tag_name", "names", "1 AS one")}) GROUP BY variant
 ),
 dictionary AS (SELECT variant, coalesce(exact, derived) AS tag FROM variants),
-grams AS (SELECT doc_id, {TAG_GRAMS_SQL} AS grams FROM t),
-placed AS (SELECT doc_id, unnest(grams) AS gram, unnest(range(0, len(grams))) AS pos FROM grams),
-matches AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, tag FROM placed JOIN dictionary ON gram = variant),
+matches AS MATERIALIZED (SELECT doc_id, k, i, tag FROM grams JOIN dictionary ON gram = variant),
 forbidden AS (
   SELECT DISTINCT replace(pair, ' ', '-') AS tag, unnest(string_split(pair, ' ')) AS sub_tag FROM pairs
 ),
@@ -183,7 +177,7 @@ def drop_forbidden_tags(spark, sf_dir):
 @query(
     _TAGGED_SQL
     + """
-SELECT doc_id AS entity_id, coalesce(string_agg(tag, ' ' ORDER BY pos, tag), '') AS summary_tags
+SELECT doc_id AS entity_id, coalesce(string_agg(tag, ' ' ORDER BY k DESC, i), '') AS summary_tags
 FROM documents LEFT JOIN allowed USING (doc_id) GROUP BY doc_id"""
 )
 def tag_documents(spark, sf_dir):
