@@ -145,7 +145,8 @@ def event_adoption(spark: SparkSession, sf_dir: str, early: DataFrame | None = N
 
 def post_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a line of a post dump, tagged with its user and its type."""
-    written = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    plain = F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T"))
+    written = F.when(F.contains(plain, F.lit(".")), plain).otherwise(F.concat(plain, F.lit(".0")))
     return texts(spark, sf_dir, "events", "event_id").select(
         F.concat(
             F.lit('  <row Id="'), "event_id", F.lit('" PostTypeId="1" CreationDate="'), written,

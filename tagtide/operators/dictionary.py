@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.functions.variants import spellings, version_forms
-from tagtide.operators.joins import small_side
+from tagtide.operators.joins import drop_listed, keep_listed, small_side
 
 
 def usable_tags(tags: DataFrame, min_count: int = -1, remove_textless: bool = True) -> DataFrame:
@@ -23,24 +23,22 @@ def main_tags(usable: DataFrame, synonyms: DataFrame | None = None) -> DataFrame
     names = usable.select("tag_name").distinct()
     if synonyms is None:
         return names
-    return names.join(synonyms.select(F.col("synonym").alias("tag_name")), "tag_name", "left_anti")
+    return drop_listed(names, synonyms.withColumnRenamed("synonym", "tag_name"))
 
 
 def live_synonyms(synonyms: DataFrame, names: DataFrame) -> DataFrame:
     """Synonyms whose master is a main tag."""
-    masters = names.select(F.col("tag_name").alias("master"))
-    return synonyms.join(masters, "master", "left_semi").select("synonym", "master")
+    return keep_listed(synonyms, names.withColumnRenamed("tag_name", "master"), "master").select("synonym", "master")
 
 
 def stem_forms(forms: DataFrame, stems: DataFrame) -> DataFrame:
     """Replace each hyphen-separated part of ``form`` by its stem, if ``stems`` has one."""
     numbered = forms.select("*", F.posexplode(F.split("form", "-")).alias("_at", "token"))
-    keys = [c for c in forms.columns]
     parts = F.array_sort(F.collect_list(F.struct("_at", "_part")))
     return (
         numbered.join(small_side(stems.select("token", "stem")), "token", "left")
         .withColumn("_part", F.coalesce("stem", "token"))
-        .groupBy(*keys)
+        .groupBy(*forms.columns)
         .agg(F.array_join(F.transform(parts, lambda p: p["_part"]), "-").alias("_stemmed"))
         .withColumn("form", F.col("_stemmed"))
         .drop("_stemmed")

@@ -35,12 +35,12 @@ def small_side(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame
 
 
 def keep_listed(df: DataFrame, listed: DataFrame, on: str = "tag_name") -> DataFrame:
-    """Rows of ``df`` whose key is in ``listed``."""
-    return df.join(listed.select(on), on, "left_semi")
+    """Rows of ``df`` whose key is in ``listed``, however often it is listed."""
+    return df.join(listed.select(on).distinct(), on, "left_semi")
 
 
 def drop_listed(df: DataFrame, listed: DataFrame, on: str = "tag_name") -> DataFrame:
-    return df.join(listed.select(on), on, "left_anti")
+    return df.join(listed.select(on).distinct(), on, "left_anti")
 
 
 def common_tags(left: DataFrame, right: DataFrame, on: str = "tag_name") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tagtide.functions.dates import parse_dayfirst_date, week_floor
 from tagtide.functions.trends import clean_trend_name, clean_trend_value
+from tagtide.operators.joins import drop_listed, keep_listed
 
 WEEK, DAY = 7, 1
 
@@ -82,7 +83,7 @@ def rescale(df: DataFrame, column: str) -> DataFrame:
 
 def unknown_tags(wanted: DataFrame, series: DataFrame) -> DataFrame:
     """Tags asked for that the series does not have."""
-    return wanted.select("tag").distinct().join(series.select("tag"), "tag", "left_anti")
+    return drop_listed(wanted.select("tag").distinct(), series, "tag")
 
 
 def align_weekly(trend: DataFrame, series: DataFrame) -> DataFrame:
@@ -90,9 +91,7 @@ def align_weekly(trend: DataFrame, series: DataFrame) -> DataFrame:
 
     Tags that the series does not have are left out; ``unknown_tags`` lists them.
     """
-    known = trend.select("tag", week_floor(F.col("week")).alias("week"), "value").join(
-        series.select("tag").distinct(), "tag", "left_semi"
-    )
+    known = keep_listed(trend.select("tag", week_floor(F.col("week")).alias("week"), "value"), series, "tag")
     counts = series.select("tag", "week", F.col("n").alias("so_value"))
     return known.join(counts, ["tag", "week"], "left").withColumn(
         "so_value", F.coalesce("so_value", F.lit(0))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tagtide.operators.ads import feed_items, keyed_ads, latest_ad, linked_snapshots, page_links
+from tagtide.operators.joins import keep_listed
 from tagtide.sources.readers import read_page_files, read_series
 from tagtide.sources.writers import write_json
 
@@ -17,7 +17,7 @@ def snapshots_to_fetch(pages: DataFrame) -> DataFrame:
 
 def listed_snapshots(pages: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Stored snapshots that the pages link to."""
-    return snapshots.join(snapshots_to_fetch(pages).select("snapshot_id"), "snapshot_id", "left_semi")
+    return keep_listed(snapshots, snapshots_to_fetch(pages), "snapshot_id")
 
 
 def ads_from_snapshots(snapshots: DataFrame, keep_all_updates: bool = False) -> DataFrame:
@@ -36,4 +36,4 @@ def run_ads(
     stored = listed_snapshots(read_page_files(spark, page_folder), read_series(spark, snapshots))
     write_json(ads_from_snapshots(stored, keep_all_updates), f"{output}/all_ads")
     if save_originals:
-        write_json(stored.select("snapshot_id", F.col("rss")), f"{output}/jobs_rss_raw")
+        write_json(stored.select("snapshot_id", "rss"), f"{output}/jobs_rss_raw")

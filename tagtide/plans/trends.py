@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagtide.operators.joins import optional_column
+from tagtide.operators.joins import keep_listed, optional_column
 from tagtide.operators.series import (
     WEEK,
     after_date,
@@ -37,10 +37,8 @@ def platform_series(
 
     ``tag_week`` is read several times and should be a stored table.
     """
-    names = (tag_week if tags is None else tags).select("tag").distinct()
-    known = tag_week if tags is None else tag_week.join(names, "tag", "left_semi")
-    if tags is not None:
-        names = names.join(tag_week.select("tag"), "tag", "left_semi")
+    known = tag_week if tags is None else keep_listed(tag_week, tags, "tag")
+    names = known.select("tag").distinct()
     # The calendar is that of the whole table, not of the chosen tags.
     buckets = resample(known, step, days, calendar=tag_week)
     return after_date(fill_weeks(buckets, tag_week, names, step, days), "date", start)
@@ -54,7 +52,7 @@ def align_series(trend: DataFrame, tag_week: DataFrame, normalise: bool = False)
 
 def trend_markers(trend: DataFrame, early: DataFrame) -> DataFrame:
     """``(tag, kind, date, value)``: the series, and one row per known date of its tags."""
-    known = early.join(trend.select(F.col("tag").alias("tag_name")), "tag_name", "left_semi")
+    known = keep_listed(early, trend.withColumnRenamed("tag", "tag_name"))
     dates = F.array(
         *[F.struct(F.lit(c).alias("kind"), optional_column(early, c).alias("date")) for c in EARLY_DATES]
     )
