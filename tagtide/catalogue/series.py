@@ -179,7 +179,8 @@ def trend_inner_merge(spark, sf_dir):
     second = flags.count().groupBy("date").pivot("flag", ['"A"', '"N"', '"R"']).agg(F.max("count"))
     # Exports are files; the merge reads them for their shared dates and for their rows.
     merged = load_trends([durable(first), durable(second)], names_have_quotations=True)
-    return merged.dropna(subset=["value"]).withColumn("week", F.col("week").cast("string"))
+    written = merged.dropna(subset=["value"])
+    return written.select("tag", F.col("week").cast("string").alias("week"), F.col("value").cast("int").alias("value"))
 
 
 # Medians and thresholds over all days since the first view, zeros included.

@@ -12,5 +12,5 @@ def clean_trend_name(name: Column, drop_quotes: bool = False) -> Column:
 
 
 def clean_trend_value(value: Column) -> Column:
-    """Texts such as '<1' are 0."""
-    return F.when(F.contains(value, F.lit("<")), F.lit(0)).otherwise(F.trim(value).try_cast("int"))
+    """Texts such as '<1' are 0; other texts are numbers, or null."""
+    return F.when(F.contains(value, F.lit("<")), F.lit(0.0)).otherwise(value.try_cast("double"))

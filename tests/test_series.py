@@ -80,9 +80,9 @@ def test_trends_keep_dates_of_all_files(spark):
     first = spark.createDataFrame(
         [("01/02/2016", "<1", "3"), ("08/02/2016", "5", "6")], 'date string, `machine learning` string, `"c sharp"` string'
     )
-    second = spark.createDataFrame([("2016-02-08", 7), ("2016-02-15", 8)], "date string, java int")
+    second = spark.createDataFrame([("2016-02-08", 7.5), ("2016-02-15", 8.0)], "date string, java double")
     assert rows(load_trends([first, second], names_have_quotations=True)) == [
-        ("c-sharp", date(2016, 2, 8), 6), ("java", date(2016, 2, 8), 7), ("machine-learning", date(2016, 2, 8), 5),
+        ("c-sharp", date(2016, 2, 8), 6), ("java", date(2016, 2, 8), 7.5), ("machine-learning", date(2016, 2, 8), 5),
     ]
     assert len(rows(load_trends([first]))) == 4
     assert ("machine-learning", date(2016, 2, 1), 0) in rows(load_trends([first]))
