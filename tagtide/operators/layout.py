@@ -1,8 +1,11 @@
-"""Layout of rows over tasks."""
+"""Layout of rows over tasks, and of costly expressions in a plan."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
@@ -13,3 +16,13 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def complete_rows(df: DataFrame, *fields: str) -> DataFrame:
+    """The given fields of the rows that have all of them.
+
+    For fields that are costly expressions: a plain filter would be pushed below their
+    projection and compute them a second time, which it cannot be through a generator.
+    """
+    row = F.array(F.struct(*fields))
+    return df.select(F.inline(F.filter(row, lambda r: reduce(lambda a, b: a & b, [r[f].isNotNull() for f in fields]))))

@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 from tagtide.session import durable
 
 
-def with_position(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), into: str = "position") -> DataFrame:
+def with_position(
+    df: DataFrame,
+    order: Sequence[str],
+    keys: Sequence[str] = (),
+    into: str = "position",
+    chunks: int | None = None,
+) -> DataFrame:
     """Number the rows of each key from 1 in the given order.
 
     Rows are range partitioned by key and order, so a hot key is cut into several even chunks.
     A chunk numbers its own rows and adds the count of its key's earlier chunks. The chunk of a
     row depends on sampled bounds, so the chunked rows are written once and read twice. The
-    order should be unique within a key; pass narrow frames.
+    order should be unique within a key; pass narrow frames. ``chunks`` is their number, by default
+    at most the number of shuffle partitions.
     """
-    chunked = durable(df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id()))
+    columns = [*keys, *order] if chunks is None else [chunks, *keys, *order]
+    chunked = durable(df.repartitionByRange(*columns).withColumn("_chunk", F.spark_partition_id()))
     # One row per key and chunk: keys plus partitions in all, even where a single window has all of them.
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

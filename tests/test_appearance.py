@@ -88,7 +88,8 @@ def test_position_without_keys_spans_partitions(spark):
     numbers = list(range(1_000))
     random.Random(3).shuffle(numbers)
     df = spark.createDataFrame([(n,) for n in numbers], "n int").repartition(5)
-    assert rows(with_position(df, order=("n",))) == [(n, n + 1) for n in range(1_000)]
+    for chunks in (None, 3, 20):
+        assert rows(with_position(df, order=("n",), chunks=chunks)) == [(n, n + 1) for n in range(1_000)]
 
 
 def test_baseline_row_stands_one_below_the_lowest_value(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tagtide.functions.posts import parse_creation_ts, parse_tag_list, post_id, xml_attr
 from tagtide.operators.appearance import explode_tags, parse_posts
+from tagtide.operators.vectors import post_tokens
 
 
 def test_attribute_is_null_when_absent_or_unclosed_and_empty_when_empty(one):
@@ -60,9 +61,23 @@ def test_only_complete_posts_give_uses(spark):
 
 
 def test_each_line_is_parsed_once(spark):
-    """The filter on parsed fields stays above the generator."""
+    """The filters on parsed fields stay above a generator."""
     lines = spark.createDataFrame([("x",)], "value string").filter(F.length("value") > 0)
-    plan = explode_tags(parse_posts(lines))._jdf.queryExecution().executedPlan().toString()
-    below = plan[plan.index("Generate") :]
-    assert "CreationDate" in below
-    assert not [line for line in below.splitlines() if "Filter" in line and "CreationDate" in line]
+    posts = parse_posts(lines)
+    for df, field in ((explode_tags(posts), "CreationDate"), (post_tokens(posts), "Body")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("Generate") :]
+        assert f" {field}=" in below
+        assert not [line for line in below.splitlines() if "Filter" in line and f" {field}=" in line]
+
+
+def test_post_tokens_need_title_and_body(spark):
+    lines = [
+        '<row Id="1" Title="Run C# fast" Body="in the &lt;b&gt;cloud&lt;/b&gt; 2.5 times" />',
+        '<row Id="2" Title="no body" />',
+        '<row Id="3" Body="no title" />',
+        '<row Title="no id" Body="x" />',
+        '<row Id="4" Title="" Body="" />',
+    ]
+    tokens = post_tokens(parse_posts(spark.createDataFrame([(x,) for x in lines], "value string")))
+    assert rows(tokens) == [(1, ["run", "c#", "fast", "b", "cloud", "b", "times"]), (4, [])]
