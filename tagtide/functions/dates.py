@@ -20,5 +20,5 @@ def delay_days(start: Column, end: Column) -> Column:
 
 
 def parse_dayfirst_date(text: Column) -> Column:
-    """'5/1/2016' is the fifth of January; ISO dates are read as ISO."""
-    return F.coalesce(F.try_to_date(text, "d/M/y"), F.try_to_date(text, "y-M-d"))
+    """'5/1/2016' is the fifth of January; ISO dates are read as ISO. Years have four digits."""
+    return F.coalesce(F.try_to_date(text, "d/M/yyyy"), F.try_to_date(text, "yyyy-M-d"))

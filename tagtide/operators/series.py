@@ -139,5 +139,5 @@ def merge_trends(files: Sequence[DataFrame], drop_quotes: bool = False) -> DataF
     shared = (
         rows.groupBy("week").agg(F.count_distinct("_file").alias("_files")).filter(F.col("_files") == len(files))
     )
-    # A calendar of at most four digit years has under four million days, so this side is bounded.
+    # Years of four digits have under four million days in all, so this side is bounded.
     return rows.join(F.broadcast(shared.select("week")), "week", "left_semi").select("tag", "week", "value")

@@ -50,8 +50,8 @@ def test_week_floor_is_monday(one):
 
 
 def test_dayfirst_dates(one):
-    assert one(dates.parse_dayfirst_date, "05/01/2016", "2016-01-05", "5/1/2016", "x", None) == [
-        date(2016, 1, 5), date(2016, 1, 5), date(2016, 1, 5), None, None,
+    assert one(dates.parse_dayfirst_date, "05/01/2016", "2016-01-05", "5/1/2016", "5/1/20160", "x", None) == [
+        date(2016, 1, 5), date(2016, 1, 5), date(2016, 1, 5), None, None, None,
     ]
 
 
