@@ -9,7 +9,7 @@ from tagtide.functions.posts import parse_creation_ts, parse_tag_list, post_id,
 from tagtide.operators.ordering import with_position
 
 # A power of two.
-_SALTS = 32
+_SALTS = 16
 
 
 def parse_posts(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -46,10 +46,11 @@ def earliest_n(uses: DataFrame, n: int = 1) -> DataFrame:
     """``(creation_ts, tag)`` of the uses whose rank by date within the tag is at most ``n``.
 
     Uses at the same instant share a rank, so all of them stay at the cut. Each tag is ranked in
-    salted parts first: map tasks pass on only ``n`` ranks per part, and a tag with very many
-    uses at one instant is spread. The date of the n-th use then cuts the parts.
+    parts first: a map task belongs to one part and passes on ``n`` ranks of each tag, and a tag
+    with very many uses at one instant is spread over the parts. The date of the n-th use then
+    cuts the parts. The result does not depend on which part a use is in.
     """
-    salted = uses.select("tag", "creation_ts", F.xxhash64("id").bitwiseAND(_SALTS - 1).alias("_salt"))
+    salted = uses.select("tag", "creation_ts", F.spark_partition_id().bitwiseAND(_SALTS - 1).alias("_salt"))
     in_part = Window.partitionBy("tag", "_salt").orderBy("creation_ts")
     survivors = salted.withColumn("_rank", F.rank().over(in_part)).filter(F.col("_rank") <= n).drop("_rank")
 
@@ -59,7 +60,7 @@ def earliest_n(uses: DataFrame, n: int = 1) -> DataFrame:
         .filter(F.col("_row") <= n)
         .groupBy("tag")
         .agg(F.max("creation_ts").alias("_cut"))
-        .withColumn("_salt", F.explode(F.array([F.lit(s).cast("bigint") for s in range(_SALTS)])))
+        .withColumn("_salt", F.explode(F.array([F.lit(part) for part in range(_SALTS)])))
     )
     return (
         survivors.join(cuts, ["tag", "_salt"])
