@@ -23,10 +23,10 @@ def draw(seed: int, *columns: str) -> Column:
 
 def cycled_weights(sources: DataFrame, cycle=(5, 2, 1), source: str = "source") -> DataFrame:
     """Weights that repeat over the sources by code point, null last. Numbered in ranges, not in one task."""
-    ordered = sources.select(F.col(source).isNull().alias("_none"), F.col(source).alias("_source"))
-    placed = with_position(ordered, ["_none", "_source"], into="_place")
+    ordered = sources.select(F.col(source).isNull().alias("none"), F.col(source).alias("source"))
+    placed = with_position(ordered, ["none", "source"], into="nth")
     weights = F.array(*[F.lit(float(w)) for w in cycle])
-    return placed.select(F.col("_source").alias(source), F.get(weights, (F.col("_place") - 1) % len(cycle)).alias("weight"))
+    return placed.select(F.col("source").alias(source), F.get(weights, (F.col("nth") - 1) % len(cycle)).alias("weight"))
 
 
 def fill(sources: DataFrame, share: float = 1.0, max_epochs: float = 3.0) -> DataFrame:
