@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tagtide.session import durable
+from tagtide.session import durable, share_package
 
 #: Words, in the regular expressions of Spark. ``bytes.split()`` finds the same words in UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,7 +42,13 @@ def map_batches(df: DataFrame, batch: Callable[[pa.RecordBatch], dict | Iterator
             for columns in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, struct)
+    return map_arrow(df, run, struct)
+
+
+def map_arrow(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` whose workers find this package."""
+    share_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def as_array(values, kind: pa.DataType) -> pa.Array:
@@ -83,3 +91,27 @@ def smallest_reachable(edges: DataFrame, a: str = "a", b: str = "b") -> DataFram
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
+
+
+def whole_runs(batches, key: int = 0, rows: int = 100_000) -> Iterator[pa.Table]:
+    """Join batches that are sorted by a key into tables that hold whole runs of it, of about ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= rows:
+            keys = batch.column(key)
+            last = held[-1].column(key)[-1]
+            same = pa.compute.equal(keys, last).to_numpy(zero_copy_only=False)
+            cut = len(same) if same.all() else int(np.argmin(same))
+            if cut:
+                held.append(batch.slice(0, cut))
+            if cut < len(same):
+                yield pa.Table.from_batches(held)
+                held, size = [batch.slice(cut)], len(same) - cut
+            continue
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)

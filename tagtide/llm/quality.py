@@ -8,10 +8,11 @@ from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagtide.llm.common import free_name, map_batches, utf8
+from tagtide.llm.common import free_name, map_arrow, map_batches, utf8
 
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 SYMBOLS = "#*$%&|<>"
@@ -174,7 +175,6 @@ def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str
     """The rows that pass, with all their columns. Base figures are worked out only as far as needed."""
     cascade = ordered(rules, measure(docs, rules, text, sample_rows))
     schema = docs.schema
-    place = docs.columns.index(text)
     mark = free_name(docs, "_utf8")
 
     def run(batches):
@@ -188,13 +188,7 @@ def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str
                     and not any(rule.rejects(page) for rule in cascade)
                     and not base_fails(len(words), repeated_words(words))
                 )
-            yield batch.filter(np_mask(good)).select(range(len(schema)))
+            yield batch.filter(pa.array(good, pa.bool_())).select(range(len(schema)))
 
-    assert place >= 0
-    return docs.withColumn(mark, utf8(text)).mapInArrow(run, schema)
+    return map_arrow(docs.withColumn(mark, utf8(text)), run, schema)
 
-
-def np_mask(values: list[bool]):
-    import pyarrow as pa
-
-    return pa.array(values, pa.bool_())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagtide.catalogue.registry import table
-from tagtide.llm import mixing, pieces, quality
+from tagtide.llm import lm, mixing, packing, pieces, quality, simhash, tokencount
 from tagtide.llm.registry import QUERIES, query
 
 __all__ = ["QUERIES"]
@@ -13,6 +13,30 @@ __all__ = ["QUERIES"]
 TOKENIZERS = "/opt/tokenizers"
 
 
+RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
+@query()
+def op1_edited_token_counts(spark, sf_dir):
+    """Token counts of all texts before and after three edits each, placed by a hash of the id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    state = tokencount.count_tokens(docs, RANKS).withColumn("n_before", F.col("n_tokens"))
+    chars = F.coalesce(F.length("text"), F.lit(0))
+    place = [F.pmod(F.xxhash64(F.lit(k), "doc_id"), chars + 1).cast("int") for k in range(3)]
+
+    def edit(start, removed, added):
+        return F.struct(start.alias("start"), F.lit(removed).alias("removed"), added.alias("added"))
+
+    edits = F.array(
+        edit(place[0], 12, F.concat_ws("", F.lit(" ("), "source", F.lit(")"))),
+        edit(place[1], 0, F.upper(F.substring("text", 1, 20))),
+        edit(place[2], 40, F.lit("")),
+    )
+    done = tokencount.apply_edits(state.withColumn("edits", edits), RANKS)
+    return done.select("doc_id", "n_before", "n_tokens", F.size("pre_tokens").alias("n_pre_tokens"), "n_encoded", F.xxhash64("text").alias("text_hash"))
+
+
 @query()
 def op3_mix_sources(spark, sf_dir):
     """Which documents the mix takes, and how many of their words."""
@@ -26,8 +50,30 @@ def op4_quality_cascade(spark, sf_dir):
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_packed_ids(spark, sf_dir):
+    """Packed rows of all texts; matrix and positions are shown by their digests."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), RANKS)
+    return packed.select(
+        "lot", "step", "row", "used", "doc_ids", "parts", "lengths", F.xxhash64("ids").alias("ids_hash"), F.xxhash64("positions").alias("positions_hash")
+    )
+
+
+@query()
+def op8_lattice_scores(spark, sf_dir):
+    """Scores from the documents whose hash is not held out."""
+    learn = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    scored = lm.score(table(spark, sf_dir, "documents"), PIECES, learn)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query()
 def op9_merge_dropout(spark, sf_dir):
     """Pieces of whole texts, shown by their number and digest, and whether they decode to the text."""
-    encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), PIECES)
     return encoded.select("doc_id", "n_pieces", "text_chars", F.xxhash64("pieces").alias("pieces_hash"), "lossless")
