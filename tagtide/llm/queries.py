@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagtide.catalogue.registry import table
-from tagtide.llm import lm, mixing, packing, pieces, quality, simhash, tokencount
+from tagtide.llm import lines, lm, mixing, packing, pieces, quality, simhash, tokencount, vectors
 from tagtide.llm.registry import QUERIES, query
 
 __all__ = ["QUERIES"]
@@ -37,6 +37,11 @@ def op1_edited_token_counts(spark, sf_dir):
     return done.select("doc_id", "n_before", "n_tokens", F.size("pre_tokens").alias("n_pre_tokens"), "n_encoded", F.xxhash64("text").alias("text_hash"))
 
 
+@query()
+def op2_rotated_codes(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op3_mix_sources(spark, sf_dir):
     """Which documents the mix takes, and how many of their words."""
@@ -77,3 +82,10 @@ def op9_merge_dropout(spark, sf_dir):
     """Pieces of whole texts, shown by their number and digest, and whether they decode to the text."""
     encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), PIECES)
     return encoded.select("doc_id", "n_pieces", "text_chars", F.xxhash64("pieces").alias("pieces_hash"), "lossless")
+
+
+@query()
+def op10_line_dedup(spark, sf_dir):
+    """Texts without equal and near-equal later lines, shown by their numbers and digest."""
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
