@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagtide.catalogue.registry import table
-from tagtide.llm import lines, lm, mixing, packing, pieces, quality, simhash, tokencount, vectors
+from tagtide.llm import lines, lm, mixing, packing, pieces, quality, simhash, substrings, tokencount, vectors
 from tagtide.llm.registry import QUERIES, query
 
 __all__ = ["QUERIES"]
@@ -60,6 +60,11 @@ def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_substring_dedup(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_packed_ids(spark, sf_dir):
     """Packed rows of all texts; matrix and positions are shown by their digests."""
