@@ -14,6 +14,8 @@ from tagtide.session import durable
 #: Polynomial hashes modulo 2**64; the inverse takes a deleted character out of the powers.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: So many rows of 28 bytes are sent to all tasks at most.
+FEW = 500_000
 BLANK = " \t\x0b\x0c\r"
 
 
@@ -101,7 +103,9 @@ def near_earlier(docs: DataFrame, classes: DataFrame, *, id: str, text: str, min
     suspects = halves.join(shared, "half").select("line").distinct()
     suspects = durable(classes.select("line", "first").join(suspects, "line", "left_semi"))
     pages = lines_of(docs, id=id, text=text, min_chars=min_chars, content=True)
-    found = durable(pages.join(suspects, "line").dropDuplicates(["line"]).select("line", "first", "content"))
+    # Suspects are counted: a few go to all tasks, so that only their lines travel; more meet them by line.
+    few = suspects.count() <= FEW
+    found = durable(pages.join(F.broadcast(suspects) if few else suspects, "line").dropDuplicates(["line"]).select("line", "first", "content"))
 
     def run(batch):
         firsts = batch.column(0)
