@@ -23,122 +23,129 @@ class MergeVocabulary:
     """Pieces and merge ranks of a model file, and the agenda that merges them.
 
     Pieces hold spaces only at their front or are all spaces, so a text falls into runs of spaces
-    with what follows them, and no merge crosses from one to the next.
+    with what follows them, and no merge crosses from one to the next. A pair of pieces merges if the
+    vocabulary has what they spell together, the earlier in the vocabulary the sooner.
     """
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        self.pieces = [model.id_to_piece(i) for i in range(size)]
-        self.ids: dict[str, int] = {}
-        self.rank: dict[str, float] = {}
+        ids: dict[str, int] = {}
         self.byte_ids = [0] * 256
-        for i, piece in enumerate(self.pieces):
+        for i in range(size):
+            piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.ids[piece] = i
-                self.rank[piece] = -model.get_score(i)
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError("a piece has a space inside; runs of text would not be independent")
+                ids[piece] = i
+        if size > KIND or any(SPACE in p.lstrip(SPACE) for p in ids):
+            raise ValueError("the vocabulary is too large, or a piece has a space inside")
         if not all(self.byte_ids):
             raise ValueError("the vocabulary lacks byte pieces, without which decoding would lose text")
         self.bytes_of = [b""] * size
-        for piece, i in self.ids.items():
+        for piece, i in ids.items():
             self.bytes_of[i] = piece.replace(SPACE, " ").encode()
         for value, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([value])
-
-    def split(self, text: str) -> Iterable[str]:
-        """Runs of a text with a space put before it. A written U+2581 is not a space and becomes a zero byte here."""
-        return re.findall(r" *[^ ]+| +", " " + text) if text else ()
+        # Spaces are spaces here, and a written U+2581 is a character without a piece.
+        self.single = {p.replace(SPACE, " "): i for p, i in ids.items() if len(p) == 1}
+        #: Neighbours that some piece has; no merge crosses a place whose two characters are not among them.
+        self.joined = {p[k : k + 2].replace(SPACE, " ") for p in ids for k in range(len(p) - 1)}
+        order = {i: n for n, i in enumerate(sorted(ids.values(), key=lambda i: (-model.get_score(i), i)))}
+        rank = {}
+        for i in ids.values():  # equal scores are equal ranks: the place then decides
+            rank.setdefault(model.get_score(i), order[i])
+        #: Two pieces as one number, and what they merge to: rank above, piece below.
+        self.merges: dict[int, int] = {}
+        for piece, i in ids.items():
+            for cut in range(1, len(piece)):
+                left, right = ids.get(piece[:cut]), ids.get(piece[cut:])
+                if left is not None and right is not None:
+                    self.merges[left * KIND + right] = rank[model.get_score(i)] * KIND + i
+
+    def split(self, text: str) -> list[str]:
+        """Runs of a text with a space put before it."""
+        return re.findall(r" *[^ ]+| +", " " + text) if text else []
 
     def encode_run(self, run: str, skip: float = 0.0, key: int = 0) -> bytes:
         """Ids of one run as little-endian int32.
 
-        The agenda holds candidate merges by rank, then place. A candidate is skipped when it comes up
-        with probability ``skip``, told from a hash of the key, the run and the place and text of the
-        merge; it comes again only if a neighbour grows and makes another candidate.
+        The agenda holds candidate merges by rank, then place. A candidate that comes up is skipped with
+        probability ``skip``, told from a hash of the key, the run, the place and the merge; it comes
+        again only if a neighbour grows and makes another candidate.
         """
-        symbols = [SPACE if c == " " else c for c in run]
-        n = len(symbols)
-        ids = self.ids
-        if not skip:
-            whole = "".join(symbols)
-            if n == 1 and whole in ids and run != SPACE:
-                return struct.pack("<i", ids[whole])
-        literal = SPACE in run  # such characters are spelled in bytes and never merge
-        if literal:
-            symbols = [("\0" if c == SPACE else s) for c, s in zip(run, symbols)]
-        bound = int(skip * 4294967296)
+        bound = int(skip * 65536)
         stream = xxhash.xxh3_64_intdigest(run.encode("utf-8", "surrogatepass"), key) if bound else 0
-        if n <= SHORT:
-            merged = self._merge_short(symbols, bound, stream)
-        else:
-            merged = self._merge_long(symbols, bound, stream)
-        out = []
-        at = 0
-        for s in merged:
-            i = ids.get(s, -1)
-            if i >= 0:
-                out.append(i)
-            else:
-                spelled = SPACE if literal and run[at] == SPACE else s.replace(SPACE, " ")
-                out.extend(self.byte_ids[b] for b in spelled.encode("utf-8", "surrogatepass"))
-            at += len(s)
-        return struct.pack(f"<{len(out)}i", *out)
-
-    def _merge_short(self, symbols: list[str], bound: int, stream: int) -> list[str]:
+        get = self.single.get
+        # Characters without a piece get numbers below 0, which no merge has, and are spelled in bytes.
+        symbols = [get(c, -1 - ord(c)) for c in run]
+        merged = (self._merge_short if len(symbols) <= SHORT else self._merge_long)(symbols, bound, stream)
+        if min(merged) < 0:
+            spelled: list[int] = []
+            for i in merged:
+                if i >= 0:
+                    spelled.append(i)
+                else:
+                    spelled.extend(self.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
+            merged = spelled
+        return struct.pack(f"<{len(merged)}i", *merged)
+
+    def _merge_short(self, symbols: list[int], bound: int, stream: int) -> list[int]:
         """The agenda as a list by place: cheaper than a heap for the length of a word."""
-        get = self.rank.get
-        agenda = [get(a + b, INF) for a, b in zip(symbols, symbols[1:])]
+        get = self.merges.get
+        agenda = [get(a * KIND + b, NONE) for a, b in zip(symbols, symbols[1:])]
         while agenda:
             best = min(agenda)
-            if best == INF:
+            if best == NONE:
                 break
             i = agenda.index(best)
-            if bound and skipped(stream, i, int(best)) < bound:
-                agenda[i] = INF
+            if bound and skipped(stream, i, best) < bound:
+                agenda[i] = NONE
                 continue
-            both = symbols[i] + symbols[i + 1]
-            symbols[i : i + 2] = [both]
-            del agenda[i]
+            both = best % KIND
+            symbols[i] = both
+            del symbols[i + 1], agenda[i]
             if i < len(agenda):
-                agenda[i] = get(both + symbols[i + 1], INF)
+                agenda[i] = get(both * KIND + symbols[i + 1], NONE)
             if i:
-                agenda[i - 1] = get(symbols[i - 1] + both, INF)
+                agenda[i - 1] = get(symbols[i - 1] * KIND + both, NONE)
         return symbols
 
-    def _merge_long(self, symbols: list[str], bound: int, stream: int) -> list[str]:
-        rank, n = self.rank, len(symbols)
-        right = list(range(1, n + 1))
-        left = list(range(-1, n - 1))
-        agenda = [(rank[p], i, p) for i, p in enumerate(map("".join, zip(symbols, symbols[1:]))) if p in rank]
+    def _merge_long(self, symbols: list[int], bound: int, stream: int) -> list[int]:
+        """The agenda as a heap, and neighbours as linked places."""
+        get, n = self.merges.get, len(symbols)
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        alive = [True] * n
+        agenda = [(m, i, 0) for i, m in enumerate(get(a * KIND + b, NONE) for a, b in zip(symbols, symbols[1:])) if m != NONE]
         heapq.heapify(agenda)
+        grown = [0] * n  # how often the pair that starts at a place has changed
         while agenda:
-            best, i, both = heapq.heappop(agenda)
-            j = right[i]
-            if not symbols[i] or j >= n or symbols[i] + symbols[j] != both:
+            best, i, version = heapq.heappop(agenda)
+            if not alive[i] or grown[i] != version or (bound and skipped(stream, i, best) < bound):
                 continue
-            if bound and skipped(stream, i, int(best)) < bound:
-                continue
-            symbols[i], symbols[j] = both, ""
+            j = right[i]
+            both = symbols[i] = best % KIND
+            alive[j] = False
             k = right[i] = right[j]
+            grown[i] += 1
             if k < n:
                 left[k] = i
-                if (more := both + symbols[k]) in rank:
-                    heapq.heappush(agenda, (rank[more], i, more))
+                if (m := get(both * KIND + symbols[k], NONE)) != NONE:
+                    heapq.heappush(agenda, (m, i, grown[i]))
             h = left[i]
-            if h >= 0 and (more := symbols[h] + both) in rank:
-                heapq.heappush(agenda, (rank[more], h, more))
-        return [s for s in symbols if s]
+            if h >= 0:
+                grown[h] += 1
+                if (m := get(symbols[h] * KIND + both, NONE)) != NONE:
+                    heapq.heappush(agenda, (m, h, grown[h]))
+        return [s for s, ok in zip(symbols, alive) if ok]
 
-    def encode(self, text: str, skip: float = 0.0, seed: int = 0, variants: int = 1, doc_key: int = 0, cache: dict | None = None) -> bytes:
+    def encode(self, text: str, skip: float = 0.0, seed: int = 0, variants: int = 1, doc_key: int = 0, caches: list[Kept] | None = None) -> bytes:
         """Ids of a text. The k-th run draws one of ``variants`` keys from the seed, the text's key and k.
 
-        A run has at most ``variants`` segmentations under a seed, each worked out once and then looked up.
+        A run has at most ``variants`` segmentations under a seed, each worked out once and then looked
+        up in ``caches``, a dictionary for each variant.
         """
-        cache = {} if cache is None else cache
+        caches = [Kept() for _ in range(variants)] if caches is None else caches
         runs = self.split(text)
         if not skip or variants == 1:
             drawn = bytes(len(runs))
@@ -149,31 +156,68 @@ class MergeVocabulary:
             drawn = ((places >> np.uint64(40)) % np.uint64(variants)).astype(np.uint8).tobytes()
         out = []
         for run, v in zip(runs, drawn):
-            known = cache.get((run, v))
+            known = caches[v].get(run)
             if known is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                known = cache[run, v] = self.encode_run(run, skip, seed * 256 + v)
+                known = self.encode_parts(run, skip, seed * 256 + v, caches[v])
             out.append(known)
         return b"".join(out)
 
+    def encode_parts(self, run: str, skip: float, key: int, cache: Kept) -> bytes:
+        """Ids of a run, part by part where no merge crosses, such as between a word and a full stop."""
+        known = cache.recall(run)
+        if known is not None:
+            return known
+        joined, at, out = self.joined, 0, []
+        for k in range(1, len(run) + 1):
+            if k == len(run) or run[k - 1 : k + 1] not in joined:
+                part = run[at:k]
+                at = k
+                known = cache.get(part) or cache.recall(part)
+                if known is None:
+                    known = self.encode_run(part, skip, key)
+                    cache.keep(part, known)
+                out.append(known)
+        if len(out) > 1:
+            cache.keep(run, known := b"".join(out))
+        return known
+
     def decode(self, ids: bytes | Iterable[int]) -> str:
+        return self.bytes_from(ids).decode("utf-8", "surrogatepass")
+
+    def bytes_from(self, ids: bytes | Iterable[int]) -> bytes:
+        """The UTF-8 that pieces spell, without the space put before the text."""
         numbers = np.frombuffer(ids, "<i4").tolist() if isinstance(ids, bytes) else ids
-        raw = b"".join(map(self.bytes_of.__getitem__, numbers))
-        return raw[1:].decode("utf-8", "surrogatepass")
+        return b"".join(map(self.bytes_of.__getitem__, numbers))[1:]
+
+
+def skipped(stream: int, place: int, merge: int) -> int:
+    """16 bits for a candidate merge, keyed by the run's hash."""
+    return (((stream ^ (merge * 0x9E3779B1 + place * 0x85EBCA77)) * 0xC2B2AE3D27D4EB4F) >> 47) & 0xFFFF
 
 
-def skipped(stream: int, place: int, rank: int) -> int:
-    """32 bits for a candidate merge, keyed by the run's hash."""
-    drawn = ((stream ^ (place * 0x9E3779B97F4A7C15 + rank * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
-    return (drawn >> 32) ^ (drawn & 0xFFFFFFFF)
+#: Above all pieces, above all ranks, and the longest run whose agenda is a list.
+KIND, NONE, SHORT = 1 << 20, 1 << 62, 48
 
+class Kept(dict):
+    """Segmentations that a worker keeps: ``limit`` of late and as many of before, so that frequent ones stay."""
 
-#: No rank, and the longest run whose agenda is a list.
-INF, SHORT = float("inf"), 48
+    limit = 200_000
 
-#: Segmentations that a worker keeps at most; more start afresh.
-CACHE = 400_000
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+
+    def recall(self, run: str) -> bytes | None:
+        known = self.before.get(run)
+        if known is not None:
+            self.keep(run, known)
+        return known
+
+    def keep(self, run: str, known: bytes) -> None:
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()
+        self[run] = known
 
 
 @lru_cache(2)
@@ -181,10 +225,10 @@ def vocabulary(path: str) -> MergeVocabulary:
     return MergeVocabulary(path)
 
 
-@lru_cache(4)
-def cache_of(path: str, skip: float, seed: int) -> dict:
+@lru_cache(2)
+def caches_of(path: str, skip: float, seed: int, variants: int) -> list[Kept]:
     """Kept between the tasks of a worker."""
-    return {}
+    return [Kept() for _ in range(variants)]
 
 
 def encode_documents(
@@ -200,17 +244,17 @@ def encode_documents(
         raise ValueError("variants must be 1 to 256")
 
     def run(batch):
-        vocab, cache = vocabulary(model), cache_of(model, skip, seed)
+        vocab, caches = vocabulary(model), caches_of(model, skip, seed, variants)
         keys, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         # In pieces, because ids take more room than the text they stand for.
         for at in range(0, len(texts), 256):
             ids, chars, good = [], [], []
             for key, raw in zip(keys[at : at + 256], texts[at : at + 256]):
                 page = raw.decode("utf-8", "surrogatepass")
-                made = vocab.encode(page, skip, seed, variants, key, cache)
+                made = vocab.encode(page, skip, seed, variants, key, caches)
                 ids.append(np.frombuffer(made, "<i4"))
                 chars.append(len(page))
-                good.append((vocab.decode(made) if made else "") == page)
+                good.append(vocab.bytes_from(made) == raw)
             yield {
                 "id": batch.column(0).slice(at, 256),
                 "pieces": ids,
