@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from brute import components, one_edit
-from tagtide.llm import lines, simhash, substrings, vectors
+from tagtide.llm import automata, lines, simhash, substrings, vectors
 from tagtide.llm.common import smallest_reachable
 
 
@@ -171,6 +171,30 @@ def test_substrings(awkward, documents, empty, sizes):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_automata_find_the_windows_of_smaller_ids():
+    rnd = random.Random(12)
+    for _ in range(60):
+        texts = [[rnd.choice("abc").encode() for _ in range(rnd.randint(0, 30))] for _ in range(8)]
+        automaton = automata.SuffixAutomaton()
+        for doc, words in enumerate(texts):
+            automaton.add(words, doc)
+        for doc, words in enumerate(texts):
+            smaller = {tuple(t[i : i + 4]) for t in texts[:doc] for i in range(len(t) - 3)}
+            expected = [i for i in range(len(words) - 3) if tuple(words[i : i + 4]) in smaller]
+            assert automaton.matched(words, doc, 4) == expected
+
+
+def test_broadcast_shards_agree_with_hashed_windows(spark, awkward, documents):
+    small = awkward.where("length(text) < 20000 AND doc_id IS NOT NULL").distinct()
+    found = automata.reference_matches(small, small, shard_words=1_000).collect()
+    assert len(found) > 5
+    starts = {r.doc_id: set(r.starts) for r in found}
+    removed = {r.doc_id: r.n_removed for r in substrings.remove_repeats(small).collect()}
+    assert {k: len({i + j for i in v for j in range(13)}) for k, v in starts.items()} == {k: n for k, n in removed.items() if n}
+    with pytest.raises(ValueError, match="every shard"):
+        automata.reference_matches(small, small, max_words=100)
+
+
 # Lines
 
 
