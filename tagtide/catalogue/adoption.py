@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagtide.catalogue.inputs import ADOPTION_SQL, EARLY_SQL, USES_SQL, event_adoption, event_early, event_uses
+from tagtide.catalogue.inputs import ADOPTION_SQL, EARLY_SQL, USES_SQL, daily_counts, event_adoption, event_early, event_uses
 from tagtide.catalogue.registry import query
 from tagtide.operators.joins import common_tags, keep_listed
-from tagtide.operators.series import DAY, tag_week_counts
+from tagtide.operators.series import DAY, as_series, tag_week_counts
 from tagtide.operators.shares import first_used_since, ordering_proportion, popular_tags, start_proportions
+from tagtide.plans.adoption import adoption_table as adoption_job
 from tagtide.plans.adoption import cohort_proportions
+from tagtide.plans.trends import platform_series
 from tagtide.plans.trends import trend_markers as trend_markers_job
 from tagtide.session import durable
 
-CUTOFFS = {"first_hours": "2024-01-01 12:00:00", "second_day": "2024-01-02", "third_day": "2024-01-03"}
+CUTOFFS = {"first_hours": "2024-01-01 12:00:00", "second_day": "2024-01-02", "third_day": "2024-01-03",
+           "far_future": "2999-01-01"}
 
 SHARES_SQL = """
 round(count(*) FILTER (short_adoption_seq LIKE 'S%') / count(*), 6) AS share_s,
@@ -60,7 +63,11 @@ chosen AS (
   SELECT tag_name, cohort, 'all' AS tags FROM cohorts
   UNION ALL SELECT tag_name, cohort, 'popular' FROM cohorts WHERE tag_count > (SELECT median(tag_count) FROM early)
 )
-SELECT cohort, tags, {SHARES_SQL} FROM chosen JOIN adoption USING (tag_name) GROUP BY cohort, tags"""
+SELECT cohort, tags, share_s, share_a, share_c, coalesce(n_tags, 0) AS n_tags
+FROM (SELECT unnest(['all', 'first_hours', 'second_day', 'third_day', 'far_future']) AS cohort)
+CROSS JOIN (SELECT unnest(['all', 'popular']) AS tags)
+LEFT JOIN (SELECT cohort, tags, {SHARES_SQL} FROM chosen JOIN adoption USING (tag_name) GROUP BY cohort, tags)
+USING (cohort, tags)"""
 )
 def cohort_popular_proportions(spark, sf_dir):
     early = durable(event_early(spark, sf_dir))
@@ -94,5 +101,36 @@ UNPIVOT (date FOR kind IN (first_use_date, nth_use_date, ad_date, nth_ad_date, c
 )
 def trend_markers(spark, sf_dir):
     errors = event_uses(spark, sf_dir).filter(F.col("platform") == "GT")
-    trend = tag_week_counts(errors, DAY).withColumnRenamed("n", "value")
-    return trend_markers_job(trend, event_early(spark, sf_dir))
+    trend = durable(as_series(tag_week_counts(errors, DAY)))
+    return trend_markers_job(trend, durable(event_early(spark, sf_dir)))
+
+
+@query(
+    f"""
+WITH {ADOPTION_SQL}
+SELECT tag_name, full_adoption_seq, short_adoption_seq FROM adoption"""
+)
+def adoption_from_platform_series(spark, sf_dir):
+    """Uses become counts, counts a dense series, and the series dates the sequences, without a rename between."""
+    views = daily_counts(spark, sf_dir, "SV")
+    errors = daily_counts(spark, sf_dir, "GT")
+    table_ = adoption_job(
+        event_early(spark, sf_dir),
+        votes=platform_series(views, days=DAY),
+        trend=platform_series(errors, days=DAY),
+        days=DAY,
+        votes_abs=2,
+    )
+    return table_.select("tag_name", "full_adoption_seq", "short_adoption_seq")
+
+
+@query(
+    f"""
+WITH {ADOPTION_SQL}
+SELECT tag_name, short_adoption_seq LIKE '%A%' AS advertised FROM adoption"""
+)
+def adoption_without_adverts_column(spark, sf_dir):
+    """A frame without course dates gives the same place to adverts."""
+    early = event_early(spark, sf_dir).drop("course_date", "nth_course_date")
+    table_ = adoption_job(early)
+    return table_.select("tag_name", F.contains("short_adoption_seq", F.lit("A")).alias("advertised"))

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from tagtide.catalogue.registry import query, table
 from tagtide.functions.feeds import snapshot_url
-from tagtide.operators.ads import feed_items, keyed_ads, linked_snapshots, page_links
+from tagtide.operators.ads import broken_items, feed_items, keyed_ads, linked_snapshots, page_links, unparsed_snapshots
 from tagtide.plans.ads import ads_from_snapshots
 
 _LINKS_SQL = r"""
 targets AS (
   SELECT url AS path, list_filter(list_transform(
-           regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'),
+           regexp_extract_all(regexp_replace(replace(html, 'href="', 'href="/web/' || page_id % 97 || '/http'), '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'),
                               '(?i)<a\s[^>]*href="([^"]*)"', 1),
-           lambda t: replace(t, '&amp;', '&')), lambda t: contains(t, '/th')) AS found
+           lambda t: replace(t, '&amp;', '&')), lambda t: contains(t, '/web/')) AS found
   FROM pages
 ),
 links AS (
@@ -23,9 +23,10 @@ links AS (
 
 
 def _links(spark, sf_dir):
-    """The pages link to no archive, so links below another path are taken."""
-    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), "html")
-    return page_links(pages, path_part="/th")
+    """The pages link to no archive, so each target is put behind the address of a snapshot."""
+    archived = F.concat(F.lit('href="/web/'), F.col("page_id") % 97, F.lit("/http"))
+    html = F.replace("html", F.lit('href="'), archived)
+    return page_links(table(spark, sf_dir, "pages").select(F.col("url").alias("path"), html.alias("html")))
 
 
 @query(f"WITH {_LINKS_SQL} SELECT path, CAST(pos AS INTEGER) AS pos, url FROM links")
@@ -36,13 +37,13 @@ def archived_page_links(spark, sf_dir):
 @query(
     f"""
 WITH {_LINKS_SQL},
-keyed AS (SELECT *, split_part(split_part(url, '/th', 2), 'e', 1) AS snapshot_id FROM links)
+keyed AS (SELECT *, split_part(split_part(url, '/web/', 2), '/http', 1) AS snapshot_id FROM links)
 SELECT snapshot_id, url FROM (
   SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY path DESC, pos DESC) AS r FROM keyed
 ) WHERE r = 1"""
 )
 def last_link_per_snapshot(spark, sf_dir):
-    return linked_snapshots(_links(spark, sf_dir), path_part="/th", until="e")
+    return linked_snapshots(_links(spark, sf_dir))
 
 
 @query(
@@ -86,6 +87,15 @@ def _snapshots(spark, sf_dir):
     return events.groupBy("snapshot_id").agg(rss.alias("rss"))
 
 
+def _faulty_snapshots(spark, sf_dir):
+    """The ampersand of titles is bare, a tag of the channel stays open, and the eighth item's title has no end."""
+    bare = F.replace("rss", F.lit("&amp;"), F.lit("&"))
+    opened = F.replace(bare, F.lit("<title>Jobs</title>"), F.lit("<title>Jobs<image>"))
+    items = F.split(opened, "<item>")
+    broken = F.transform(items, lambda x, i: F.when(i == 8, F.replace(x, F.lit("</title>"), F.lit(""))).otherwise(x))
+    return _snapshots(spark, sf_dir).withColumn("rss", F.array_join(broken, "<item>"))
+
+
 @query(
     f"""
 WITH {_ITEMS_SQL}
@@ -121,8 +131,32 @@ def feed_items_all_updates(spark, sf_dir):
 @query(
     f"""
 WITH {_ITEMS_SQL}
-SELECT title || '___' || published AS ad_key, count(*) AS n_snapshots FROM items GROUP BY 1"""
+SELECT title || '___' || published AS ad_key, count(DISTINCT snapshot_id) AS n_snapshots FROM items GROUP BY 1"""
 )
 def ad_sightings(spark, sf_dir):
     items = keyed_ads(feed_items(_snapshots(spark, sf_dir)))
-    return items.groupBy("ad_key").agg(F.count("*").alias("n_snapshots"))
+    return items.groupBy("ad_key").agg(F.count_distinct("snapshot_id").alias("n_snapshots"))
+
+
+@query(
+    f"""
+WITH {_ITEMS_SQL}
+SELECT snapshot_id, CAST(event_id % 100 AS INTEGER) AS item_pos, title, published, summary FROM items
+WHERE event_id % 100 <> 7"""
+)
+def feed_items_with_faults(spark, sf_dir):
+    """Bare ampersands and a broken channel cost nothing; one item of each snapshot cannot be parsed."""
+    return feed_items(_faulty_snapshots(spark, sf_dir)).select("snapshot_id", "item_pos", "title", "published", "summary")
+
+
+@query("SELECT DISTINCT lpad(CAST(event_id // 100 AS VARCHAR), 14, '0') AS snapshot_id, 7 AS item_pos FROM events WHERE event_id % 100 = 7")
+def broken_feed_items(spark, sf_dir):
+    return broken_items(_faulty_snapshots(spark, sf_dir)).select("snapshot_id", "item_pos")
+
+
+@query("SELECT DISTINCT lpad(CAST(event_id // 100 AS VARCHAR), 14, '0') AS snapshot_id FROM events WHERE (event_id // 100) % 3 = 1")
+def unparsed_feed_snapshots(spark, sf_dir):
+    """A third of the snapshots break off within an item."""
+    page = F.col("snapshot_id").cast("bigint")
+    cut = F.when(page % 3 == 1, F.concat("rss", F.lit("<item><title>cut"))).otherwise(F.col("rss"))
+    return unparsed_snapshots(_snapshots(spark, sf_dir).withColumn("rss", cut))

@@ -7,11 +7,19 @@ import uuid
 from pyspark.sql import functions as F
 
 from tagtide import schemas
-from tagtide.catalogue.inputs import event_uses
+from tagtide.catalogue.inputs import EARLY_SQL, event_uses, post_lines
 from tagtide.catalogue.registry import query, table
 from tagtide.operators.appearance import early_appearances
+from tagtide.plans.posts import first_use
 from tagtide.session import shared_folder
-from tagtide.sources.readers import read_series, read_tags_csv
+from tagtide.sources.readers import (
+    read_json_map,
+    read_page_files,
+    read_post_lines,
+    read_series,
+    read_tag_types_csv,
+    read_tags_csv,
+)
 from tagtide.sources.writers import write_columnar, write_csv, write_json
 
 
@@ -21,18 +29,22 @@ def _new_folder(spark) -> str:
 
 _TEXT_SQL = """
 SELECT CASE WHEN lang = 'de' THEN 'null' ELSE 'doc-' || doc_id END AS tag_name,
-       CASE WHEN lang <> 'fr' THEN text END AS excerpt, CAST(n_chars AS INTEGER) AS tag_count
-FROM documents"""
+       text AS excerpt, CAST(n_chars AS INTEGER) AS tag_count
+FROM documents
+UNION ALL SELECT 'bare-' || doc_id, NULL, CAST(n_chars AS INTEGER) FROM documents"""
 
 
 @query(_TEXT_SQL)
 def csv_roundtrip(spark, sf_dir):
-    """A tag dictionary with whole texts as excerpts: quotes, commas and line breaks come back as written."""
+    """A tag dictionary with whole texts as excerpts: quotes, commas and line breaks come back as written.
+
+    Each document has a second row without an excerpt.
+    """
     named = F.when(F.col("lang") == "de", F.lit("null")).otherwise(F.concat(F.lit("doc-"), "doc_id"))
-    excerpt = F.when(F.col("lang") != "fr", F.col("text"))
-    tags = table(spark, sf_dir, "documents").select(
-        named.alias("TagName"), excerpt.alias("Excerpt"), F.col("n_chars").cast("int").alias("TagCount")
-    )
+    count = F.col("n_chars").cast("int").alias("TagCount")
+    bare = F.struct(F.concat(F.lit("bare-"), "doc_id").alias("TagName"), F.lit(None).cast("string").alias("Excerpt"), count)
+    whole = F.struct(named.alias("TagName"), F.col("text").alias("Excerpt"), count)
+    tags = table(spark, sf_dir, "documents").select(F.inline(F.array(whole, bare)))
     folder = _new_folder(spark)
     write_csv(tags, folder)
     return read_tags_csv(spark, folder)
@@ -46,20 +58,66 @@ def json_roundtrip(spark, sf_dir):
     return spark.read.schema(turns.schema).json(folder)
 
 
-@query(
-    """
-WITH ranked AS (
-  SELECT 'user' || user_id AS tag, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn
-  FROM events WHERE event_type = 'signup'
-)
-SELECT tag AS tag_name, count(*) AS tag_count, min(ts) FILTER (rn = 1) AS first_use_date,
-       min(ts) FILTER (rn = 5) AS nth_use_date
-FROM ranked GROUP BY tag"""
-)
+@query(f"WITH {EARLY_SQL} SELECT * FROM early")
 def columnar_roundtrip(spark, sf_dir):
-    questions = event_uses(spark, sf_dir).filter(F.col("platform") == "SQ")
     folder = _new_folder(spark)
-    write_columnar(early_appearances(questions), folder)
+    write_columnar(early_appearances(event_uses(spark, sf_dir)), folder)
     early = read_series(spark, folder)
     assert set(early.columns) == set(schemas.EARLY.names)
-    return early.select("tag_name", "tag_count", "first_use_date", "nth_use_date")
+    return early
+
+
+@query(
+    """
+SELECT creation_ts, tag FROM (
+  SELECT *, rank() OVER (PARTITION BY tag ORDER BY creation_ts) AS r FROM (
+    SELECT ts AS creation_ts, 'user' || user_id AS tag FROM events
+    UNION ALL SELECT ts, event_type FROM events
+  )
+) WHERE r <= 5"""
+)
+def first_use_from_dump(spark, sf_dir):
+    """The dump is written as text and read line by line."""
+    folder = _new_folder(spark)
+    post_lines(spark, sf_dir).write.text(folder)
+    return first_use(read_post_lines(spark, folder), 5)
+
+
+@query("SELECT p_name || ', ' || p_partkey AS tag, p_type AS type FROM part")
+def tag_types_from_csv(spark, sf_dir):
+    folder = _new_folder(spark)
+    name = F.concat("p_name", F.lit(", "), "p_partkey")
+    write_csv(table(spark, sf_dir, "part").select(name.alias("tag"), F.col("p_type").alias("type")), folder)
+    return read_tag_types_csv(spark, folder)
+
+
+@query("SELECT 'user' || c_custkey AS synonym, c_name AS master FROM customer")
+def synonyms_from_json(spark, sf_dir):
+    """One object per nation: a mapping is kept by hand, so an object is small."""
+    folder = _new_folder(spark)
+    entry = F.struct(F.concat(F.lit("user"), "c_custkey"), "c_name")
+    maps = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    # Every file is one object.
+    maps.select(F.to_json("m").alias("value"), "c_nationkey").repartition("c_nationkey").write.partitionBy("c_nationkey").text(folder)
+    return read_json_map(spark, f"{folder}/*", "synonym", "master")
+
+
+@query("SELECT html, count(*) AS n FROM pages GROUP BY html")
+def pages_from_files(spark, sf_dir):
+    """Each page is a file; the path tells them apart."""
+    folder = _new_folder(spark)
+    pages = table(spark, sf_dir, "pages").select(F.col("html").alias("value"), "page_id")
+    pages.write.option("lineSep", "\0").partitionBy("page_id").text(folder)
+    read = read_page_files(spark, f"{folder}/*")
+    return read.select("path", F.rtrim(F.col("html"), F.lit("\0")).alias("html")).distinct().groupBy("html").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id AS id, count(*) AS n FROM conversations GROUP BY conv_id")
+def overwritten_output(spark, sf_dir):
+    """A later run replaces what an earlier one wrote to the same folder, whatever its form."""
+    folder = _new_folder(spark)
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn")
+    write_columnar(turns, folder)
+    write_json(turns, folder)
+    write_columnar(turns.groupBy("id").agg(F.count("*").alias("n")), folder)
+    return read_series(spark, folder)

@@ -1,7 +1,7 @@
 """The given tables in the roles of posts, adverts, courses, series and labels.
 
 In ``events`` a user stands for a tag and an event type for a platform: signups are questions,
-clicks are adverts, large purchases are courses, views are votes, errors are search interest.
+clicks are adverts, purchases are courses, views are votes, errors are search interest.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ USES_SQL = """
 uses AS (
   SELECT event_id AS id, ts AS creation_ts, 'user' || user_id AS tag,
          CASE event_type WHEN 'signup' THEN 'SQ' WHEN 'click' THEN 'A' WHEN 'view' THEN 'SV'
-              WHEN 'error' THEN 'GT' ELSE CASE WHEN value >= 100 THEN 'C' END END AS platform
+              WHEN 'error' THEN 'GT' WHEN 'purchase' THEN 'C' END AS platform
   FROM events
 )"""
 
@@ -101,14 +101,14 @@ adoption AS (
 
 
 def event_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, creation_ts, tag, platform)``; small purchases are on no platform."""
+    """``(id, creation_ts, tag, platform)``; purchases are courses."""
     kind = F.col("event_type")
     platform = (
         F.when(kind == "signup", "SQ")
         .when(kind == "click", "A")
         .when(kind == "view", "SV")
         .when(kind == "error", "GT")
-        .when((kind == "purchase") & (F.col("value") >= 100), "C")
+        .when(kind == "purchase", "C")
     )
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
@@ -129,8 +129,8 @@ def daily_counts(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
 
 
 def daily_series(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
-    """``(tag, week, value)``, one row per tag and day with uses; other days are zero."""
-    return resample(daily_counts(spark, sf_dir, platform), days=DAY).withColumnRenamed("date", "week")
+    """``(tag, date, value)``, one row per tag and day with uses; other days are zero."""
+    return resample(daily_counts(spark, sf_dir, platform), days=DAY)
 
 
 def event_adoption(spark: SparkSession, sf_dir: str, early: DataFrame | None = None) -> DataFrame:

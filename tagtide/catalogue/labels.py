@@ -9,6 +9,7 @@ from tagtide.catalogue.inputs import ADOPTION_SQL, event_adoption
 from tagtide.catalogue.registry import query, table
 from tagtide.constants import TOPIC_RECODES
 from tagtide.functions.labels import has_item, topic_and_type
+from tagtide.operators.categories import category_first_share as category_shares
 from tagtide.operators.categories import (
     group_sizes,
     multi_value_counts,
@@ -148,6 +149,23 @@ def category_first_share(spark, sf_dir):
     return rounded_shares(shares)
 
 
+@query(
+    f"""
+WITH {ADOPTION_SQL}, {_TOPICS_SQL},
+listed AS (SELECT DISTINCT topic AS category FROM labelled WHERE topic IS NOT NULL UNION ALL SELECT 'absent'),
+counted AS (
+  SELECT topic AS category, {SHARES_SQL} FROM labelled JOIN adoption USING (tag_name) GROUP BY topic
+)
+SELECT category, share_s, share_a, share_c, coalesce(n_tags, 0) AS n_tags FROM listed LEFT JOIN counted USING (category)"""
+)
+def all_category_first_share(spark, sf_dir):
+    """Every topic however small, and one that no tag has."""
+    labelled = with_topics(_customer_labels(spark, sf_dir))
+    absent = spark.range(1).select(F.lit("absent").alias("topic"))
+    listed = labelled.select("topic").dropna().distinct().unionByName(absent)
+    return rounded_shares(category_shares(event_adoption(spark, sf_dir), labelled, listed, "topic"))
+
+
 @query(
     f"""
 WITH {ADOPTION_SQL}, {_TOPICS_SQL},
@@ -242,13 +260,14 @@ def listed_language(spark, sf_dir):
 @query(
     """
 SELECT p_partkey, coalesce(r_name, p_type) AS label FROM part
-LEFT JOIN (SELECT r_name, CASE r_regionkey WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'PROMO' END AS old
+LEFT JOIN (SELECT r_name, CASE r_regionkey WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'PROMO'
+           WHEN 3 THEN 'MEDIUM' ELSE 'LARGE' END AS old
            FROM region) ON old = p_type"""
 )
 def recoded_types(spark, sf_dir):
-    """Three part types take the name of a region; the others stay."""
+    """Five part types take the name of a region; the sixth stays."""
     key = F.col("r_regionkey")
-    old = F.when(key == 0, "ECONOMY").when(key == 1, "SMALL").when(key == 2, "PROMO")
+    old = F.when(key == 0, "ECONOMY").when(key == 1, "SMALL").when(key == 2, "PROMO").when(key == 3, "MEDIUM").otherwise("LARGE")
     recodes = table(spark, sf_dir, "region").select(old.alias("old"), F.col("r_name").alias("new")).dropna()
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("label"))
     return recode_by_table(parts, "label", recodes)

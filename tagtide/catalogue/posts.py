@@ -50,9 +50,9 @@ def post_fields(spark, sf_dir):
 
 @query(
     """
-SELECT conv_id * 1000 + turn AS id, role AS title,
+SELECT conv_id * 1000 + turn AS id, CASE WHEN role = 'user' THEN role END AS title, role = 'user' AS has_title,
        replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '"', '&quot;') AS body
-FROM conversations WHERE role = 'user'"""
+FROM conversations"""
 )
 def post_title_body(spark, sf_dir):
     """Only turns of users are written with a title."""
@@ -65,7 +65,7 @@ def post_title_body(spark, sf_dir):
             F.lit(' Body="'), escaped, F.lit('" />'),
         ).alias("value")
     )
-    return parse_posts(lines).select("id", "title", "body").dropna()
+    return parse_posts(lines).select("id", "title", F.col("title").isNotNull().alias("has_title"), "body")
 
 
 @query(

@@ -37,5 +37,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table of long texts, laid out for heavy work per row."""
-    return spread(table(spark, sf_dir, name), key)
+    """A table of long texts, laid out for heavy work per row: the given files are single row groups."""
+    return spread(table(spark, sf_dir, name), key, int(spark.conf.get("spark.sql.shuffle.partitions")))

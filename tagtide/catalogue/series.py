@@ -15,7 +15,9 @@ from tagtide.operators.series import (
     tag_week_counts,
     to_wide,
     unknown_tags,
+    merge_trends,
 )
+from tagtide.operators.series import undated_trend_rows as undated_rows
 from tagtide.operators.thresholds import median_since_first, trend_date, votes_date
 from tagtide.plans.trends import align_series, load_trends, platform_series
 from tagtide.session import durable
@@ -32,6 +34,8 @@ def _order_uses(spark, sf_dir, tag="o_orderpriority"):
     return orders.select(F.col("o_orderdate").alias("creation_ts"), F.col(tag).alias("tag"))
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
 @query(f"WITH {_ORDER_WEEKS_SQL} SELECT tag, CAST(week AS VARCHAR) AS week, n FROM order_weeks")
 def weekly_counts(spark, sf_dir):
     return tag_week_counts(_order_uses(spark, sf_dir)).withColumn("week", F.col("week").cast("string"))
@@ -78,15 +82,17 @@ def platform_series_from(spark, sf_dir):
     """
 SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date,
        count(*) FILTER (o_orderpriority = '1-URGENT') AS "1-URGENT",
+       count(*) FILTER (o_orderpriority = '2-HIGH') AS "2-HIGH",
+       count(*) FILTER (o_orderpriority = '3-MEDIUM') AS "3-MEDIUM",
+       count(*) FILTER (o_orderpriority = '4-NOT SPECIFIED') AS "4-NOT SPECIFIED",
        count(*) FILTER (o_orderpriority = '5-LOW') AS "5-LOW"
-FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')
-  AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31'
+FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31'
 GROUP BY CAST(o_orderdate AS DATE)"""
 )
 def wide_series_in_range(spark, sf_dir):
     uses = between_dates(_order_uses(spark, sf_dir), "creation_ts", "1996-01-01", "1997-12-31")
-    wide = to_wide(tag_week_counts(uses, DAY), ["1-URGENT", "5-LOW"], index="week", value="n")
-    return wide.select(F.col("week").cast("string").alias("date"), "1-URGENT", "5-LOW")
+    wide = to_wide(tag_week_counts(uses, DAY), PRIORITIES, index="week", value="n")
+    return wide.select(F.col("week").cast("string").alias("date"), *PRIORITIES)
 
 
 _ALIGN_SQL = """
@@ -155,32 +161,36 @@ WITH a AS (
 ),
 b AS (
   SELECT CAST(l_shipdate AS DATE) AS week, l_returnflag AS name, count(*) AS n
-  FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL
+  FROM lineitem GROUP BY ALL
 ),
 texts AS (
-  SELECT replace(name, ' ', '-') AS tag, week, CASE WHEN n < 3 THEN 0 ELSE n END AS value FROM a
-  UNION ALL SELECT name, week, n FROM b
+  SELECT replace(name, ' ', '-') AS tag, week, CASE WHEN n < 3 THEN 0 ELSE n END AS value
+  FROM (SELECT DISTINCT week FROM a) CROSS JOIN (SELECT DISTINCT name FROM a) LEFT JOIN a USING (week, name)
+  UNION ALL
+  SELECT name, week, n
+  FROM (SELECT DISTINCT week FROM b) CROSS JOIN (SELECT DISTINCT name FROM b) LEFT JOIN b USING (week, name)
 )
 SELECT tag, CAST(week AS VARCHAR) AS week, CAST(value AS INTEGER) AS value FROM texts
 WHERE week IN (SELECT week FROM a) AND week IN (SELECT week FROM b)"""
 )
 def trend_inner_merge(spark, sf_dir):
-    """Two wide exports: priorities with texts such as '<3' and day-first dates, and quoted flags."""
+    """Two wide exports: priorities with texts such as '<3' and day-first dates, and quoted flags.
+
+    An export has a cell for every date and name, so cells without a count are null rows.
+    """
     days = table(spark, sf_dir, "orders").groupBy(
         F.date_format(F.to_date("o_orderdate"), "dd/MM/yyyy").alias("date"), "o_orderpriority"
     )
     counts = days.agg(F.count("*").alias("n"))
-    priorities = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     written = F.max(F.when(F.col("n") < 3, F.lit("<3")).otherwise(F.col("n").cast("string")))
-    first = counts.groupBy("date").pivot("o_orderpriority", priorities).agg(written)
+    first = counts.groupBy("date").pivot("o_orderpriority", PRIORITIES).agg(written)
 
-    open_lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "O")
-    flags = open_lines.groupBy(F.to_date("l_shipdate").alias("date"), F.concat(F.lit('"'), "l_returnflag", F.lit('"')).alias("flag"))
+    lines = table(spark, sf_dir, "lineitem")
+    flags = lines.groupBy(F.to_date("l_shipdate").alias("date"), F.concat(F.lit('"'), "l_returnflag", F.lit('"')).alias("flag"))
     second = flags.count().groupBy("date").pivot("flag", ['"A"', '"N"', '"R"']).agg(F.max("count"))
     # Exports are files; the merge reads them for their shared dates and for their rows.
     merged = load_trends([durable(first), durable(second)], names_have_quotations=True)
-    written = merged.dropna(subset=["value"])
-    return written.select("tag", F.col("week").cast("string").alias("week"), F.col("value").cast("int").alias("value"))
+    return merged.select("tag", F.col("week").cast("string").alias("week"), F.col("value").cast("int").alias("value"))
 
 
 # Medians and thresholds over all days since the first view, zeros included.
@@ -219,3 +229,47 @@ def threshold_dates(spark, sf_dir):
 @query(_THRESHOLD_SQL + " SELECT tag, CAST(median AS DOUBLE) AS median FROM medians")
 def median_daily_views(spark, sf_dir):
     return median_since_first(daily_series(spark, sf_dir, "SV"), days=DAY)
+
+
+@query(
+    """
+SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'week ' || o_orderkey ELSE NULL END AS date, 'order' || o_orderkey AS name,
+       CAST(o_orderkey AS VARCHAR) AS value
+FROM orders WHERE o_orderkey % 5 <= 1"""
+)
+def undated_trend_rows(spark, sf_dir):
+    """Orders as rows of an export: dates in four forms, and two kinds that are no date."""
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    date = (
+        F.when(key % 5 == 0, F.concat(F.lit("week "), key))
+        .when(key % 5 == 1, F.lit(None))
+        .when(key % 5 == 2, F.concat(day.cast("string"), F.lit(" 00:00:00")))
+        .when(key % 5 == 3, F.date_format(day, "d/M/yy"))
+        .otherwise(F.date_format(day, "d/M/yyyy"))
+    )
+    export = table(spark, sf_dir, "orders").select(
+        date.alias("date"), F.concat(F.lit("order"), key).alias("name"), key.cast("string").alias("value")
+    )
+    return undated_rows(export)
+
+
+@query(
+    """
+SELECT 'order' || o_orderkey AS tag, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS week, CAST(o_orderkey AS DOUBLE) AS value
+FROM orders"""
+)
+def trend_date_forms(spark, sf_dir):
+    """One long export whose dates are written in five forms; each is read."""
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    date = (
+        F.when(key % 5 == 0, F.date_format(day, "d/M/yy"))
+        .when(key % 5 == 1, F.col("o_orderdate").cast("string"))
+        .when(key % 5 == 2, F.date_format(day, "dd.MM.yyyy"))
+        .when(key % 5 == 3, F.concat(day.cast("string"), F.lit("T12:30:00")))
+        .otherwise(F.date_format(day, "d/M/yyyy"))
+    )
+    export = table(spark, sf_dir, "orders").select(
+        date.alias("date"), F.concat(F.lit("order"), key).alias("name"), key.cast("string").alias("value")
+    )
+    merged = merge_trends([export])
+    return merged.select("tag", F.col("week").cast("string").alias("week"), "value")

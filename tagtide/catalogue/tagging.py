@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagtide.catalogue.registry import query, table, texts
@@ -116,15 +115,16 @@ def tag_length_histogram(spark, sf_dir):
     return _dictionary(spark, sf_dir).lengths
 
 
-# The tags of a text collection: its 50 words and 50 pairs of words that most texts have.
+# The tags of a text collection: the words and pairs of words that more than so many texts have.
 # A pair forbids each of its words.
+MIN_TEXTS = 100
 _TAGGED_SQL = f"""
 WITH {TAG_GRAMS_SQL},
 top_words AS (
-  SELECT w AS word FROM following GROUP BY w ORDER BY count(DISTINCT doc_id) DESC, w LIMIT 50
+  SELECT w AS word FROM following GROUP BY w HAVING count(DISTINCT doc_id) > {MIN_TEXTS}
 ),
 pairs AS (
-  SELECT gram AS pair FROM grams WHERE k = 2 GROUP BY gram ORDER BY count(DISTINCT doc_id) DESC, gram LIMIT 50
+  SELECT gram AS pair FROM grams WHERE k = 2 GROUP BY gram HAVING count(DISTINCT doc_id) > {MIN_TEXTS}
 ),
 names AS (SELECT word AS tag_name FROM top_words UNION SELECT replace(pair, ' ', '-') FROM pairs),
 variants AS (
@@ -148,12 +148,13 @@ def _text_tags(spark, sf_dir):
     docs = texts(spark, sf_dir, "documents", "doc_id").select("doc_id", tokens.alias("tokens"))
     grams = docs.select("doc_id", F.explode(F.array_distinct(ngrams(F.col("tokens"), 2, " "))).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    by_size = Window.partitionBy(F.contains("gram", F.lit(" "))).orderBy(F.desc("n"), "gram")
-    top = durable(counts.withColumn("place", F.row_number().over(by_size)).filter(F.col("place") <= 50).select("gram"))
+    top = durable(counts.filter(F.col("n") > MIN_TEXTS))
     dashed = F.replace("gram", F.lit(" "), F.lit("-"))
     pairs = top.filter(F.contains("gram", F.lit(" ")))
     forbidden = pairs.select(dashed.alias("tag"), F.explode(F.split("gram", " ")).alias("sub_tag")).distinct()
-    return durable(build_variants(top.select(dashed.alias("tag_name")).distinct())), forbidden
+    tags = top.select(dashed.alias("tag_name"), F.col("n").alias("tag_count"))
+    dictionary = build_tag_dictionary(tags, min_count=MIN_TEXTS, remove_textless=False)
+    return durable(dictionary.variants), forbidden
 
 
 def _documents(spark, sf_dir):

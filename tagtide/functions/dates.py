@@ -20,5 +20,13 @@ def delay_days(start: Column, end: Column) -> Column:
 
 
 def parse_dayfirst_date(text: Column) -> Column:
-    """'5/1/2016' is the fifth of January; ISO dates are read as ISO. Years have four digits."""
-    return F.coalesce(F.try_to_date(text, "d/M/yyyy"), F.try_to_date(text, "yyyy-M-d"))
+    """'5/1/2016' and '5/1/16' are the fifth of January; ISO dates are read as ISO.
+
+    Two digits mean the years 1969 to 2068. A time after the date is dropped. A month above twelve can only be a day, so '1/13/2016' is the
+    thirteenth of January. Anything else is null.
+    """
+    date = F.regexp_extract(text, r"^\s*([0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4})(?:[T\s].*)?$", 1)
+    slashed = F.translate(date, "-.", "//")
+    whole = [F.try_to_date(slashed, form) for form in ("d/M/yyyy", "yyyy/M/d", "M/d/yyyy")]
+    short = F.coalesce(*[F.try_to_date(slashed, form) for form in ("d/M/yy", "M/d/yy")])
+    return F.coalesce(*whole, F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short))

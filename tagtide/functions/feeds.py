@@ -44,6 +44,16 @@ def snapshot_url(id_or_url: Column, root: str = ARCHIVE_ROOT, feed_url: str = JO
     return F.when(id_or_url.try_cast("bigint").isNotNull(), address).otherwise(id_or_url)
 
 
+def feed_item_texts(rss: Column) -> Column:
+    """The text of each ``<item>`` of a feed, with bare ampersands escaped.
+
+    Items are told apart before they are parsed, so a fault in one of them, or in the channel around
+    them, costs no other.
+    """
+    repaired = F.regexp_replace(rss, r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
+    return F.regexp_extract_all(repaired, F.lit(r"(?s)<item(?:\s[^>]*)?>(?:(?!<item[\s>]).)*?</item\s*>"), F.lit(0))
+
+
 def ad_key(title: Column, published: Column, updated: Column | None = None) -> Column:
     """Key of an advert, or of one update of it; null if a part is missing."""
     parts = [title, F.lit("___"), published]

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagtide import schemas
-from tagtide.functions.feeds import ad_key, snapshot_id, snapshot_links
+from tagtide.functions.feeds import ad_key, feed_item_texts, snapshot_id, snapshot_links
+
+_BROKEN = "_broken"
+_ITEM = T.StructType([*schemas.FEED_ITEM.fields, T.StructField(_BROKEN, T.StringType())])
 
 
 def page_links(pages: DataFrame, path_part: str = "/web/") -> DataFrame:
@@ -21,10 +25,31 @@ def linked_snapshots(links: DataFrame, path_part: str = "/web/", until: str = "/
     return keyed.groupBy("snapshot_id").agg(last.alias("url"))
 
 
+def _parsed_items(snapshots: DataFrame) -> DataFrame:
+    blocks = snapshots.select("snapshot_id", F.posexplode(feed_item_texts(F.col("rss"))).alias("item_pos", "text"))
+    item = F.from_xml("text", _ITEM, {"ignoreNamespace": "true", "columnNameOfCorruptRecord": _BROKEN})
+    return blocks.select("snapshot_id", "item_pos", "text", item.alias("item"))
+
+
+def broken_items(snapshots: DataFrame) -> DataFrame:
+    """``(snapshot_id, item_pos, text)`` of the items that cannot be parsed; ``feed_items`` leaves them out."""
+    return _parsed_items(snapshots).filter(F.col(f"item.{_BROKEN}").isNotNull()).select("snapshot_id", "item_pos", "text")
+
+
+def unparsed_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Snapshots in which an item is opened and not closed, or whose text is no feed."""
+    opened = F.regexp_count("rss", F.lit(r"<item[\s>]"))
+    whole = F.size(feed_item_texts(F.col("rss")))
+    feed = F.contains("rss", F.lit("<rss")) & F.contains("rss", F.lit("<channel"))
+    return snapshots.filter(F.col("rss").isNull() | ~feed | (opened > whole)).select("snapshot_id")
+
+
 def feed_items(snapshots: DataFrame) -> DataFrame:
-    """One row per item of each snapshot's RSS text, with its position in the feed."""
-    feed = F.from_xml("rss", schemas.FEED, {"ignoreNamespace": "true"})
-    items = snapshots.select("snapshot_id", F.posexplode(feed["channel"]["item"]).alias("item_pos", "item"))
+    """One row per item of each snapshot's RSS text, with its position in the feed.
+
+    ``broken_items`` and ``unparsed_snapshots`` list what could not be read.
+    """
+    items = _parsed_items(snapshots).filter(F.col(f"item.{_BROKEN}").isNull())
     return items.select(
         "snapshot_id",
         "item_pos",

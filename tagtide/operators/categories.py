@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.functions.labels import all_langs, comma_items, recode, strip_quotes, topic_and_type
-from tagtide.operators.joins import small_side
 from tagtide.operators.shares import START_ELEMENTS, start_aggregates
 
 LABEL_LISTS = ("lang_or_platform", "has_api_or_supports")
@@ -34,8 +32,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def item_rows(df: DataFrame, columns: Sequence[str], into: str) -> DataFrame:
     """The entries of one or more comma list columns, one per row, all under one name."""
-    exploded = [df.select(F.explode(comma_items(F.col(c))).alias(into)) for c in columns]
-    return reduce(DataFrame.unionAll, exploded)
+    empty = F.array().cast("array<string>")
+    lists = [F.coalesce(comma_items(F.col(c)), empty) for c in columns]
+    return df.select(F.explode(F.concat(*lists)).alias(into))
 
 
 def multi_value_counts(df: DataFrame, columns: Sequence[str], into: str = "item") -> DataFrame:
@@ -74,17 +73,20 @@ def category_first_share(
     """Per category the share of its tags that start with each element, largest category first.
 
     ``categories`` holds the values to report. A tag counts once in a category however often it
-    is labelled with it.
+    is labelled with it. Without ``min_freq`` a category without tags has ``n_tags`` 0 and no shares.
     """
     mapping = recodes or {}
     wanted = categories.select(recode(F.col(column), mapping).alias("category")).distinct()
     value = recode(F.col(column), mapping)
     members = (
         labels.select("tag_name", F.explode(comma_items(strip_quotes(value))).alias("category"))
-        .join(small_side(wanted), "category", "left_semi")
+        .join(wanted, "category", "left_semi")
         .distinct()
     )
     shares = members.join(adoption, "tag_name").groupBy("category").agg(*start_aggregates(elements=elements))
     if min_freq is not None:
         shares = shares.filter(F.col("n_tags") >= min_freq)
+    if not min_freq:
+        known = F.col("category").isNotNull()
+        shares = wanted.filter(known).join(shares, "category", "left").withColumn("n_tags", F.coalesce("n_tags", F.lit(0)))
     return shares.orderBy(F.desc("n_tags"), "category")

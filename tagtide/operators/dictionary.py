@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.functions.variants import spellings, version_forms
-from tagtide.operators.joins import drop_listed, keep_listed, small_side
+from tagtide.operators.joins import drop_listed, keep_listed
 
 
 def usable_tags(tags: DataFrame, min_count: int = -1, remove_textless: bool = True) -> DataFrame:
@@ -36,7 +36,7 @@ def stem_forms(forms: DataFrame, stems: DataFrame) -> DataFrame:
     numbered = forms.select("*", F.posexplode(F.split("form", "-")).alias("_at", "token"))
     parts = F.array_sort(F.collect_list(F.struct("_at", "_part")))
     return (
-        numbered.join(small_side(stems.select("token", "stem")), "token", "left")
+        numbered.join(stems.select("token", "stem"), "token", "left")
         .withColumn("_part", F.coalesce("stem", "token"))
         .groupBy(*forms.columns)
         .agg(F.array_join(F.transform(parts, lambda p: p["_part"]), "-").alias("_stemmed"))

@@ -27,7 +27,9 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def small_side(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """``df`` to be broadcast if its measured size allows that, and as it is if not.
+    """A stored table to be broadcast if its measured size allows that, and as it is if not.
+
+    Weighing reads ``df``, so a derived side is joined as it is: adaptive execution knows its size.
 
     Beyond the bound the join shuffles both sides, and adaptive execution splits hot keys.
     """
@@ -55,6 +57,6 @@ def optional_column(df: DataFrame, name: str, kind: str = "timestamp_ntz") -> Co
 
 def recode_by_table(df: DataFrame, column: str, recodes: DataFrame) -> DataFrame:
     """Replace values by ``recodes(old, new)``; values without an entry stay."""
-    table = small_side(recodes.select(F.col("old").alias(column), F.col("new").alias("_new")))
+    table = recodes.select(F.col("old").alias(column), F.col("new").alias("_new"))
     replaced = F.coalesce("_new", column).alias(column)
     return df.join(table, column, "left").select(*[replaced if c == column else c for c in df.columns])

@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a scan out by ``key`` if it has fewer tasks than there are cores.
+def spread(scan: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """Deal the rows of a scan out by ``key`` to so many tasks, if the caller states a number.
 
-    Texts are few and long where the work per row is heavy, so a small file would keep one core
-    busy. A large input already has more tasks than cores and is not shuffled.
+    Texts are few and long where the work per row is heavy, so a small file that cannot be split
+    would keep one core busy. A large input has tasks enough and needs no number.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+    return scan if tasks is None else scan.repartition(tasks, key)
 
 
 def complete_rows(df: DataFrame, *fields: str) -> DataFrame:

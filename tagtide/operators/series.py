@@ -35,6 +35,14 @@ def after_date(df: DataFrame, column: str, start: str | None) -> DataFrame:
     return df.filter(F.col(column) > F.lit(start).cast(df.schema[column].dataType))
 
 
+def as_series(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called ``week`` and ``value``, so that counts and buckets can be used as series."""
+    for name, other in (("week", "date"), ("value", "n")):
+        if name not in df.columns and other in df.columns:
+            df = df.withColumnRenamed(other, name)
+    return df
+
+
 def listed_weeks(series: DataFrame) -> Column:
     """``struct<first, last>`` of the weeks of a series, as a scalar subquery."""
     return series.agg(F.struct(F.min("week").alias("first"), F.max("week").alias("last")).alias("weeks")).scalar()
@@ -124,10 +132,16 @@ def trend_rows(export: DataFrame, date: str = "date") -> DataFrame:
     return export.select(F.col(date).cast("string").alias("date"), F.inline(F.array(*entries)))
 
 
+def undated_trend_rows(export: DataFrame) -> DataFrame:
+    """The rows ``(date, name, value)`` of a long export whose date cannot be read, or is missing."""
+    return export.select("date", "name", "value").filter(parse_dayfirst_date(F.col("date")).isNull())
+
+
 def merge_trends(files: Sequence[DataFrame], drop_quotes: bool = False) -> DataFrame:
     """``(tag, week, value)`` of several long exports ``(date, name, value)``.
 
-    Only dates that every file has are kept. Dates are read day first.
+    Only dates that every file has are kept. Dates are read day first; ``undated_trend_rows`` lists
+    the rows without a date, which are left out.
     """
     numbered = [f.select("date", "name", "value").withColumn("_file", F.lit(i)) for i, f in enumerate(files)]
     rows = reduce(DataFrame.unionByName, numbered).select(
@@ -139,5 +153,5 @@ def merge_trends(files: Sequence[DataFrame], drop_quotes: bool = False) -> DataF
     shared = (
         rows.groupBy("week").agg(F.count_distinct("_file").alias("_files")).filter(F.col("_files") == len(files))
     )
-    # Years of four digits have under four million days in all, so this side is bounded.
+    # Years have at most four digits, so there are under four million days and this side is bounded.
     return rows.join(F.broadcast(shared.select("week")), "week", "left_semi").select("tag", "week", "value")

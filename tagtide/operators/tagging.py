@@ -41,7 +41,7 @@ def drop_forbidden(matches: DataFrame, forbidden: DataFrame, entity: str = "enti
     so that bans and matches meet in one shuffle and the texts are read once. A window holds the
     matches of one tag in one text.
     """
-    lookup = small_side(forbidden.groupBy("tag").agg(F.collect_set("sub_tag").alias("_sub_tags")))
+    lookup = forbidden.groupBy("tag").agg(F.collect_set("sub_tag").alias("_sub_tags"))
     match = F.struct("pos", "tag", F.lit(False).alias("_ban"))
     bans = F.transform(
         F.coalesce("_sub_tags", F.array().cast("array<string>")),
@@ -65,6 +65,6 @@ def collect_tags(entities: DataFrame, matches: DataFrame, into: str, entity: str
 
 def stem_tokens(tokens: DataFrame, stems: DataFrame) -> DataFrame:
     """Replace ``token`` by its stem where ``stems(token, stem)`` has one; one row per token."""
-    table = small_side(stems.select("token", "stem"))
+    table = stems.select("token", "stem")
     stemmed = F.coalesce("stem", "token").alias("token")
     return tokens.join(table, "token", "left").select(*[stemmed if c == "token" else c for c in tokens.columns])

@@ -42,16 +42,18 @@ def adoption_table(
     days: int = WEEK,
     votes_rel: float = 0.0,
     votes_abs: float = 5,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """``(tag_name, full_adoption_seq, short_adoption_seq, <14 delays>)``.
 
-    ``votes`` and ``trend`` are series ``(tag, week, value)``; without one, its label does not
-    occur. Date columns that ``early`` lacks count as unknown.
+    ``votes`` and ``trend`` are series ``(tag, week, value)``, such as ``platform_series`` and
+    ``load_trends`` give; without one, its label does not occur. ``calendar`` is the table whose weeks
+    count for ``votes``. Date columns that ``early`` lacks count as unknown.
     """
     dates = {label: optional_column(early, column) for label, column in _LABEL_COLUMNS.items()}
     wide = early.select("tag_name", *[date.alias(label) for label, date in dates.items()])
     for label, series, first_reached in (
-        ("SV", votes, lambda s: votes_date(s, votes_rel, votes_abs, days)),
+        ("SV", votes, lambda s: votes_date(s, votes_rel, votes_abs, days, calendar=calendar)),
         ("GT", trend, trend_date),
     ):
         if series is None:
@@ -72,11 +74,19 @@ def adoption_table(
 def cohort_proportions(
     adoption: DataFrame, early: DataFrame, cutoffs: Mapping[str, str] = COHORT_CUTOFFS
 ) -> DataFrame:
-    """``(cohort, tags, <shares>, n_tags)``: per cohort for all its tags and for the popular ones."""
+    """``(cohort, tags, <shares>, n_tags)``: per cohort for all its tags and for the popular ones.
+
+    A cohort without tags has ``n_tags`` 0 and no shares.
+    """
     members = cohort_members(with_popular(early), cutoffs)
     subsets = F.array_compact(F.array(F.lit("all"), F.when(F.col("popular"), F.lit("popular"))))
     chosen = members.select("tag_name", "cohort", F.explode(subsets).alias("tags"))
-    return start_proportions(chosen.join(adoption, "tag_name"), by=("cohort", "tags"))
+    shares = start_proportions(chosen.join(adoption, "tag_name"), by=("cohort", "tags"))
+    names = F.array(*[F.lit(name) for name in ("all", *cutoffs)])
+    kinds = F.array(F.lit("all"), F.lit("popular"))
+    # One literal row, so the frame of all cohorts is as large as the mapping.
+    listed = early.sparkSession.range(1).select(F.explode(names).alias("cohort")).withColumn("tags", F.explode(kinds))
+    return listed.join(shares, ["cohort", "tags"], "left").withColumn("n_tags", F.coalesce("n_tags", F.lit(0)))
 
 
 def first_share_by_category(

@@ -43,4 +43,3 @@ FEED_ITEM = _struct(
     ("pubDate", _S),
     ("updated", _S),
 )
-FEED = _struct(("channel", _struct(("item", T.ArrayType(FEED_ITEM)))))

@@ -44,9 +44,9 @@ def read_json_map(spark: SparkSession, path: str, key: str = "key", value: str =
     """The entries of a JSON object of strings as rows; one object per file.
 
     A JSON object cannot be split, so this is for mappings kept by hand. Large ones belong in
-    JSON lines or Parquet.
+    JSON lines or Parquet. A broken object fails the job: no entries would look like an empty mapping.
     """
-    entries = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
+    entries = F.from_json("value", T.MapType(T.StringType(), T.StringType()), {"mode": "FAILFAST"})
     return spark.read.text(path, wholetext=True).select(F.explode(entries).alias(key, value))
 
 

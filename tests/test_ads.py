@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from conftest import rows
-from tagtide.operators.ads import feed_items, keyed_ads, unkeyed_ads
+from tagtide.operators.ads import broken_items, feed_items, keyed_ads, unkeyed_ads, unparsed_snapshots
 from tagtide.plans.ads import ads_from_snapshots, listed_snapshots, snapshots_to_fetch
 
 
@@ -34,6 +34,22 @@ def test_items_keep_their_place_and_missing_elements(spark):
     assert ("20160103", 1, None, "p2", None, ["x", "y"]) in got
 
 
+def test_faults_cost_no_other_item_and_are_listed(spark):
+    data = [
+        ("1", rss(item("A & B", "p1"), item("C &amp; D", "p2"))),
+        ("2", rss(item("kept", "p1"), "<item><title>broken<pubDate>x</pubDate></item>", item("kept too", "p2"))),
+        ("3", rss(item("kept", "p1")).replace("</channel></rss>", "<item><title>cut")),
+        ("4", "no feed at all"),
+        ("5", None),
+    ]
+    feeds = spark.createDataFrame(data, "snapshot_id string, rss string")
+    assert rows(feed_items(feeds).select("snapshot_id", "item_pos", "title")) == [
+        ("1", 0, "A & B"), ("1", 1, "C & D"), ("2", 0, "kept"), ("2", 2, "kept too"), ("3", 0, "kept"),
+    ]
+    assert rows(broken_items(feeds).select("snapshot_id", "item_pos")) == [("2", 1)]
+    assert rows(unparsed_snapshots(feeds)) == [("3",), ("4",), ("5",)]
+
+
 def test_latest_snapshot_wins(spark):
     got = rows(ads_from_snapshots(snapshots(spark)).select("ad_key", "snapshot_id", "summary"))
     assert got == [("Dev___p1", "20160103", "third"), ("Ops & more___p1", "20160102", "d")]

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from conftest import rows
 from tagtide.operators.layout import spread
+from tagtide.operators.vectors import train_word_vectors, word_vectors
 from tagtide.plans import ads, posts
 from tagtide.session import durable
 from tagtide.sources import readers, writers
@@ -61,10 +64,10 @@ def test_durable_rows_come_from_the_shared_folder(spark):
     assert spark.conf.get("spark.checkpoint.dir") in kept.inputFiles()[0]
 
 
-def test_spread_shuffles_only_small_scans(spark):
-    narrow, wide = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 64)
-    assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(wide, "id") is wide
+def test_spread_takes_the_number_of_tasks_from_the_caller(spark):
+    scan = spark.range(0, 100, 1, 1)
+    assert spread(scan, "id", 5).rdd.getNumPartitions() == 5
+    assert spread(scan, "id") is scan
 
 
 POSTS = "\n".join(
@@ -85,7 +88,7 @@ def test_first_use_job(spark, tmp_path):
 
 def test_vector_jobs(spark, tmp_path):
     (tmp_path / "posts.xml").write_text(POSTS)
-    folder = posts.run_word_embeddings(spark, str(tmp_path / "posts.xml"), str(tmp_path / "out"), dim=4, minCount=5)
+    folder = posts.run_word_embeddings(spark, str(tmp_path / "posts.xml"), str(tmp_path / "out"), dim=4, min_count=5)
     vectors = spark.read.parquet(folder)
     # Titles and bodies without stop words, numbers and code; 'p' is what is left of a tag.
     assert {r.word for r in vectors.collect()} == {"run", "java", "please", "code", "p"}
@@ -97,6 +100,24 @@ def test_vector_jobs(spark, tmp_path):
     assert all(len(r.vector) == 4 for r in matrix.collect())
 
 
+def test_vectors_repeat_and_do_not_outgrow_the_driver(spark):
+    tokens = spark.createDataFrame([(["a", "b", "c", "a"],), (["b", "a", "d"],)] * 30, "text array<string>")
+
+    def train():
+        model = train_word_vectors(tokens, dim=6, num_partitions=1, min_count=2)
+        return sorted((r.word, tuple(r.vector)) for r in word_vectors(model).collect())
+
+    assert train() == train() and len(train()) == 4
+    with pytest.raises(ValueError, match="raise min_count"):
+        train_word_vectors(tokens, dim=6, max_driver_bytes=100)
+
+
+def test_a_broken_json_map_fails(spark, tmp_path):
+    (tmp_path / "map.json").write_text('{"js": "javascript", "py": "pyth')
+    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILFAST"):
+        readers.read_json_map(spark, str(tmp_path)).collect()
+
+
 def test_ads_job(spark, tmp_path):
     pages, stored = tmp_path / "pages", str(tmp_path / "snapshots")
     pages.mkdir()

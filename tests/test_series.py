@@ -88,6 +88,37 @@ def test_trends_keep_dates_of_all_files(spark):
     assert ("machine-learning", date(2016, 2, 1), 0) in rows(load_trends([first]))
 
 
+def test_dates_of_exports(spark):
+    forms = {
+        "5/1/2016": date(2016, 1, 5), "5/1/16": date(2016, 1, 5), "2016-01-03 00:00:00": date(2016, 1, 3),
+        "2016-1-3": date(2016, 1, 3), "2016-01-03T10:00:00": date(2016, 1, 3), "03.01.2016": date(2016, 1, 3),
+        "1/13/2016": date(2016, 1, 13), "3/1/97": date(1997, 1, 3), "week 5": None, "": None, "13/13/2016": None,
+    }
+    export = spark.createDataFrame([(d, "x", "1") for d in forms] + [(None, "x", "1")], "date string, name string, value string")
+    read = [r.week for r in S.merge_trends([export]).collect()]
+    assert sorted(read) == sorted(d for d in forms.values() if d)
+    assert {r.date for r in S.undated_trend_rows(export).collect()} == {"week 5", "", "13/13/2016", None}
+    stamped = spark.sql("SELECT timestamp'2016-01-03 00:00:00' AS date, '7' AS java")
+    assert rows(load_trends([stamped])) == [("java", date(2016, 1, 3), 7.0)]
+    dated = spark.sql("SELECT date'2016-01-03' AS date, '7' AS java")
+    assert rows(load_trends([dated])) == [("java", date(2016, 1, 3), 7.0)]
+
+
+def test_calendar_of_the_whole_table(spark):
+    whole = tag_week(spark, [("a", 1, 10), ("b", 9, 1)])
+    part = whole.filter("tag = 'a'")
+    assert rows(median_since_first(part, value="n")) == [("a", 10.0)]
+    assert rows(median_since_first(part, value="n", calendar=whole)) == [("a", 0.0)]
+    assert rows(votes_date(part, 1.5, 2, value="n")) == []
+    assert rows(votes_date(part, 1.5, 2, value="n", calendar=whole)) == [("a", week(1))]
+
+
+def test_counts_and_buckets_are_series(spark, counts):
+    assert rows(votes_date(counts)) == rows(votes_date(counts.withColumnRenamed("n", "value")))
+    dense = platform_series(counts)
+    assert rows(votes_date(dense)) == rows(votes_date(dense.withColumnRenamed("date", "week")))
+
+
 def test_date_filters(spark):
     df = spark.createDataFrame([(week(n),) for n in range(4)], "week date")
     assert rows(S.between_dates(df, "week", "2024-01-08", "2024-01-15")) == [(week(1),), (week(2),)]

@@ -130,3 +130,14 @@ def test_broadcast_only_below_the_bound(spark, early):
     hinted = early.join(J.small_side(listed), "tag_name")._jdf.queryExecution().logical().toString()
     plain = early.join(J.small_side(listed, max_bytes=10), "tag_name")._jdf.queryExecution().logical().toString()
     assert "hint" in hinted.lower() and "hint" not in plain.lower()
+
+
+def test_cohorts_and_categories_without_tags_are_reported(spark, adoption, early):
+    cutoffs = {"late": "2017-01-01", "never": "2999-01-01"}
+    got = {(r.cohort, r.tags): r.n_tags for r in cohort_proportions(adoption, early, cutoffs).collect()}
+    assert got[("never", "all")] == got[("never", "popular")] == 0 and got[("late", "all")] == 1
+    labels = spark.createDataFrame([("a", "x"), ("unknown", "y")], "tag_name string, topic string")
+    wanted = spark.createDataFrame([("x",), ("y",), ("z",)], "topic string")
+    shares = C.category_first_share(adoption, labels, wanted, "topic")
+    assert [(r.category, r.share_s, r.n_tags) for r in shares.collect()] == [("x", 1.0, 1), ("y", None, 0), ("z", None, 0)]
+    assert C.category_first_share(adoption, labels, wanted, "topic", min_freq=1).count() == 1
