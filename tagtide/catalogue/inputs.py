@@ -118,8 +118,19 @@ def event_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_early(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return early_appearances(event_uses(spark, sf_dir))
+def all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(tag, platform, week, n)`` per day, stored: several series and the question counts come from it."""
+    uses = event_uses(spark, sf_dir).withColumn("tag", F.struct("tag", "platform"))
+    counts = tag_week_counts(uses, DAY)
+    return durable(counts.select("tag.tag", "tag.platform", "week", "n"))
+
+
+def on_platform(counts: DataFrame, platform: str) -> DataFrame:
+    return counts.filter(F.col("platform") == platform).drop("platform")
+
+
+def event_early(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
+    return early_appearances(event_uses(spark, sf_dir), counts=counts)
 
 
 def daily_counts(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
@@ -134,10 +145,11 @@ def daily_series(spark: SparkSession, sf_dir: str, platform: str) -> DataFrame:
 
 
 def event_adoption(spark: SparkSession, sf_dir: str, early: DataFrame | None = None) -> DataFrame:
+    counts = all_counts(spark, sf_dir)
     return adoption_table(
-        event_early(spark, sf_dir) if early is None else early,
-        votes=daily_series(spark, sf_dir, "SV"),
-        trend=daily_series(spark, sf_dir, "GT"),
+        event_early(spark, sf_dir, counts) if early is None else early,
+        votes=resample(on_platform(counts, "SV"), days=DAY),
+        trend=resample(on_platform(counts, "GT"), days=DAY),
         days=DAY,
         votes_abs=2,
     )

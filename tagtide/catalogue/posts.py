@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from tagtide.catalogue.inputs import EARLY_SQL, USES_SQL, event_early, event_uses, post_lines
 from tagtide.catalogue.registry import query, table
 from tagtide.operators.appearance import (
-    cumulative_uses,
+    cumulative_since,
     explode_tags,
     first_and_nth_dates,
     first_use,
     parse_posts,
-    with_baseline_row,
 )
 from tagtide.plans.posts import first_use as first_use_job
 
@@ -98,9 +97,7 @@ WITH cumulative AS (
 shown AS (SELECT * FROM cumulative WHERE date >= TIMESTAMP '2024-01-10')
 SELECT date, tag, cumulative_value FROM shown
 UNION ALL
-SELECT TIMESTAMP '2024-01-10', tag, min(cumulative_value) - 1 FROM shown GROUP BY tag
-HAVING min(cumulative_value) >= 1"""
+SELECT TIMESTAMP '2024-01-10', tag, min(cumulative_value) - 1 FROM shown GROUP BY tag"""
 )
 def cumulative_with_baseline(spark, sf_dir):
-    shown = cumulative_uses(event_uses(spark, sf_dir)).filter(F.col("date") >= F.lit("2024-01-10").cast("timestamp_ntz"))
-    return with_baseline_row(shown, "2024-01-10").orderBy("tag", "cumulative_value")
+    return cumulative_since(event_uses(spark, sf_dir), "2024-01-10").orderBy("tag", "cumulative_value")

@@ -128,7 +128,7 @@ SELECT tag, CAST(week AS VARCHAR) AS week, value, round(n * 100.0 / (SELECT max(
 FROM aligned"""
 )
 def aligned_normalised_series(spark, sf_dir):
-    series = tag_week_counts(_order_uses(spark, sf_dir, "o_orderstatus"))
+    series = durable(tag_week_counts(_order_uses(spark, sf_dir, "o_orderstatus")))
     aligned = align_series(_ship_trend(spark, sf_dir), series, normalise=True)
     return aligned.select(
         "tag", F.col("week").cast("string").alias("week"), "value", F.round("so_value", 6).alias("so_value")
@@ -143,14 +143,14 @@ FROM trend t LEFT JOIN order_weeks o ON o.tag = t.tag AND o.week = t.week
 WHERE t.tag IN (SELECT tag FROM order_weeks)"""
 )
 def post_series_only(spark, sf_dir):
-    series = tag_week_counts(_order_uses(spark, sf_dir, "o_orderstatus"))
+    series = durable(tag_week_counts(_order_uses(spark, sf_dir, "o_orderstatus")))
     rows = platform_rows(align_series(_ship_trend(spark, sf_dir), series))
     return keep_platform_series(rows).withColumn("week", F.col("week").cast("string"))
 
 
 @query(f"WITH {_ALIGN_SQL} SELECT DISTINCT tag FROM trend WHERE tag NOT IN (SELECT tag FROM order_weeks)")
 def trend_tags_without_series(spark, sf_dir):
-    series = tag_week_counts(_order_uses(spark, sf_dir, "o_orderstatus"))
+    series = durable(tag_week_counts(_order_uses(spark, sf_dir, "o_orderstatus")))
     return unknown_tags(_ship_trend(spark, sf_dir), series)
 
 

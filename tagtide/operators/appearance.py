@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtide.functions.posts import parse_creation_ts, parse_tag_list, post_id, xml_attr
-from tagtide.operators.ordering import with_position
 
 # A power of two.
 _SALTS = 16
@@ -82,11 +81,12 @@ def first_and_nth_dates(uses: DataFrame, n: int, *keys: str) -> DataFrame:
     )
 
 
-def early_appearances(uses: DataFrame, n: int = 5) -> DataFrame:
+def early_appearances(uses: DataFrame, n: int = 5, counts: DataFrame | None = None) -> DataFrame:
     """First and n-th date of each tag on each platform, and its number of questions.
 
     ``uses`` has ``(tag, platform, creation_ts)`` with platforms SQ (question), A (advert) and
-    C (course).
+    C (course). ``counts`` ``(tag, platform, n)``, of any finer grain, spares the second scan that
+    counts the questions.
     """
     wanted = uses.filter(F.col("platform").isin("SQ", "A", "C"))
     dates = first_and_nth_dates(wanted, n, "tag", "platform")
@@ -102,17 +102,45 @@ def early_appearances(uses: DataFrame, n: int = 5) -> DataFrame:
         on("C", "first_date").alias("course_date"),
         on("C", "nth_date").alias("nth_course_date"),
     )
-    counts = wanted.groupBy("tag").agg(F.count_if(F.col("platform") == "SQ").alias("tag_count"))
-    return wide.join(counts, "tag").select(
-        F.col("tag").alias("tag_name"), "tag_count", *[c for c in wide.columns if c != "tag"]
+    if counts is None:
+        questions = wanted.groupBy("tag").agg(F.count_if(F.col("platform") == "SQ").alias("tag_count"))
+    else:
+        questions = counts.groupBy("tag").agg(F.sum(F.when(F.col("platform") == "SQ", F.col("n"))).alias("tag_count"))
+    return wide.join(questions, "tag", "left").select(
+        F.col("tag").alias("tag_name"),
+        F.coalesce("tag_count", F.lit(0)).alias("tag_count"),
+        *[c for c in wide.columns if c != "tag"],
     )
 
 
-def cumulative_uses(uses: DataFrame) -> DataFrame:
-    """``(date, tag, cumulative_value)``: the running number of uses of each tag, by date and id."""
-    narrow = uses.select("tag", "creation_ts", "id")
-    counted = with_position(narrow, order=("creation_ts", "id"), keys=("tag",), into="cumulative_value")
-    return counted.select(F.col("creation_ts").alias("date"), "tag", "cumulative_value")
+def cumulative_uses(uses: DataFrame, bucket: str = "hour") -> DataFrame:
+    """``(date, tag, cumulative_value)``: the running number of uses of each tag, by date and id.
+
+    A use is numbered within its tag and time bucket, after the sum of the tag's earlier buckets. So a
+    hot tag is spread over its buckets, and only counts run in one window. Choose a finer ``bucket``
+    where a tag has too many uses in one.
+    """
+    narrow = uses.select("tag", "creation_ts", "id", F.date_trunc(bucket, "creation_ts").alias("_bucket"))
+    earlier = Window.partitionBy("tag").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = narrow.groupBy("tag", "_bucket").agg(F.count("*").alias("_n"))
+    before = counts.select("tag", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("tag", "_bucket").orderBy("creation_ts", "id")
+    numbered = narrow.withColumn("_place", F.row_number().over(within)).join(before, ["tag", "_bucket"])
+    value = (F.col("_before") + F.col("_place")).alias("cumulative_value")
+    return numbered.select(F.col("creation_ts").alias("date"), "tag", value)
+
+
+def cumulative_since(uses: DataFrame, min_date: str, bucket: str = "hour") -> DataFrame:
+    """Running numbers from ``min_date`` on, each tag after a row ``(min_date, tag, uses before it)``.
+
+    Tags without a use from that date on have no row.
+    """
+    start = F.lit(min_date).cast("timestamp_ntz")
+    shown = cumulative_uses(uses, bucket).filter(F.col("date") >= start)
+    earlier = F.count_if(F.col("creation_ts") < start)
+    sums = uses.groupBy("tag").agg(earlier.alias("cumulative_value"), F.count("*").alias("_all"))
+    baseline = sums.filter(F.col("_all") > F.col("cumulative_value"))
+    return shown.unionByName(baseline.select(start.alias("date"), "tag", "cumulative_value"))
 
 
 def with_baseline_row(cumulative: DataFrame, min_date: str) -> DataFrame:

@@ -97,7 +97,8 @@ def unknown_tags(wanted: DataFrame, series: DataFrame) -> DataFrame:
 def align_weekly(trend: DataFrame, series: DataFrame) -> DataFrame:
     """``(tag, week, value, so_value)``: post counts beside trend values, over the weeks of the trend.
 
-    Tags that the series does not have are left out; ``unknown_tags`` lists them.
+    Tags that the series does not have are left out; ``unknown_tags`` lists them. The series is read
+    twice, for its tags and for its counts, and should be a stored table.
     """
     known = keep_listed(trend.select("tag", week_floor(F.col("week")).alias("week"), "value"), series, "tag")
     counts = series.select("tag", "week", F.col("n").alias("so_value"))

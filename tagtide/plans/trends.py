@@ -19,6 +19,7 @@ from tagtide.operators.series import (
     trend_rows,
 )
 from tagtide.schemas import EARLY_DATES
+from tagtide.session import durable
 
 
 def load_trends(exports: Sequence[DataFrame], names_have_quotations: bool = False) -> DataFrame:
@@ -47,7 +48,8 @@ def platform_series(
 def align_series(trend: DataFrame, tag_week: DataFrame, normalise: bool = False) -> DataFrame:
     """``(tag, week, value, so_value)``; post counts are scaled to at most 100 if ``normalise``."""
     aligned = align_weekly(trend, tag_week)
-    return rescale(aligned, "so_value") if normalise else aligned
+    # The maximum and the scaled rows come from one stored result, as small as the trend.
+    return rescale(durable(aligned), "so_value") if normalise else aligned
 
 
 def trend_markers(trend: DataFrame, early: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from conftest import ordered, rows
 from tagtide.operators.appearance import (
+    cumulative_since,
     cumulative_uses,
     early_appearances,
     earliest_n,
@@ -97,3 +98,29 @@ def test_baseline_row_stands_one_below_the_lowest_value(spark):
     cumulative = spark.createDataFrame(data, "date timestamp_ntz, tag string, cumulative_value bigint")
     got = rows(with_baseline_row(cumulative, "2016-01-01"))
     assert got == ordered([*data, (START, "a", 3), (START, "b", 0)])
+
+
+def test_running_numbers_do_not_depend_on_the_bucket(spark):
+    uses = spark.createDataFrame(
+        [(i, datetime(2024, 1, 1 + i % 4, i % 5), "a" if i % 3 else "b") for i in range(60)] + [(99, datetime(2023, 1, 1), "old")],
+        "id long, creation_ts timestamp_ntz, tag string",
+    )
+    by_hour = rows(cumulative_since(uses, "2024-01-02"))
+    assert by_hour == rows(cumulative_since(uses, "2024-01-02", bucket="year"))
+    data = [(r.creation_ts, r.id, r.tag) for r in uses.collect()]
+    cut = datetime(2024, 1, 2)
+    expected = []
+    for tag in ("a", "b"):
+        own = sorted(d for d in data if d[2] == tag)
+        expected += [(ts, tag, n) for n, (ts, _, _) in enumerate(own, 1) if ts >= cut]
+        expected.append((cut, tag, sum(ts < cut for ts, _, _ in own)))
+    assert by_hour == sorted(expected)
+
+
+def test_given_counts_spare_a_scan(spark):
+    uses = spark.createDataFrame(
+        [(datetime(2024, 1, d), t, p) for d, t, p in [(1, "a", "SQ"), (2, "a", "SQ"), (3, "a", "A"), (1, "b", "C")]],
+        "creation_ts timestamp_ntz, tag string, platform string",
+    )
+    counts = uses.groupBy("tag", "platform").count().withColumnRenamed("count", "n")
+    assert rows(early_appearances(uses, 2)) == rows(early_appearances(uses, 2, counts))

@@ -65,3 +65,22 @@ def test_result_does_not_depend_on_the_number_of_partitions(spark):
         assert {name: result(name) for name in names} == several
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@needs_tables
+@pytest.mark.parametrize(
+    ("name", "base"),
+    [
+        ("adoption_table", "events"),
+        ("early_appearance_frame", "events"),
+        ("cumulative_with_baseline", "events"),
+        ("post_series_only", "lineitem"),
+        ("multi_value_label_counts", "customer"),
+        ("stemmed_tokens", "documents"),
+    ],
+)
+def test_base_tables_are_read_twice_at_most(spark, name, base):
+    """Scans of the final plan; those of stored intermediate results read other files."""
+    df = QUERIES[name].run(spark, SF_DIR)
+    scans = sum("FileScan" in line and f"{base}.parquet" in line for line in physical_plan(df).split("\n"))
+    assert 1 <= scans <= (3 if name == "cumulative_with_baseline" else 2)
