@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagtide.catalogue.registry import table
-from tagtide.llm import lines, lm, mixing, packing, pieces, quality, simhash, substrings, tokencount, vectors
+from tagtide.llm import lines, lm, mixing, oracles, packing, pieces, quality, simhash, substrings, tokencount, vectors
 from tagtide.llm.registry import QUERIES, query
 
 __all__ = ["QUERIES"]
@@ -37,7 +37,7 @@ def op1_edited_token_counts(spark, sf_dir):
     return done.select("doc_id", "n_before", "n_tokens", F.size("pre_tokens").alias("n_pre_tokens"), "n_encoded", F.xxhash64("text").alias("text_hash"))
 
 
-@query()
+@query(oracles.NEAR_VECTORS)
 def op2_rotated_codes(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -50,7 +50,7 @@ def op3_mix_sources(spark, sf_dir):
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken, "repeats", "source")
 
 
-@query()
+@query(oracles.QUALITY)
 def op4_quality_cascade(spark, sf_dir):
     return quality.assess(table(spark, sf_dir, "documents"))
 
@@ -60,7 +60,7 @@ def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(oracles.SUBSTRINGS)
 def op6_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 

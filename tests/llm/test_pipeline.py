@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
+import oracle
 from tagtide.llm import lines, mixing, pieces, quality, simhash
 from tagtide.llm.queries import QUERIES
 
@@ -46,3 +47,9 @@ def test_queries_run_on_whole_tables(spark, name):
     source = "embeddings" if name.startswith("op2_") else "documents"
     n = df.count()
     assert n > 0 if name.startswith("op7_") else n == spark.read.parquet(f"{SF_DIR}/{source}.parquet").count()
+
+
+@needs_tables
+@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
+def test_queries_equal_their_sql(spark, name):
+    assert oracle.difference(QUERIES[name].run(spark, SF_DIR), QUERIES[name].sql, oracle.connect(SF_DIR)) is None
