@@ -22,10 +22,15 @@ def entity_ngrams(
     entity: str = "entity_id",
     n: int = 4,
     closed_words: Sequence[str] | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
-    """``(entity, pos, ngram)`` of each text, whole; ``pos`` is the place in the bag."""
-    bag = ngram_bag(strip_html(F.col(field)), n, closed_words)
-    return entities.select(entity, F.posexplode(bag).alias("pos", "ngram"))
+    """``(entity, pos, ngram)`` of each text, whole; ``pos`` is the place in the bag.
+
+    n-grams above ``longest`` keep their places and are left out.
+    """
+    bag = ngram_bag(strip_html(F.col(field)), n, closed_words, longest)
+    grams = entities.select(entity, F.posexplode(bag).alias("pos", "ngram"))
+    return grams if longest is None else grams.filter(F.col("ngram").isNotNull())
 
 
 def match_tags(ngrams: DataFrame, variants: DataFrame, entity: str = "entity_id") -> DataFrame:

@@ -46,8 +46,8 @@ def tag_mentions(
     ``pos`` orders the mentions of a text: longer n-grams first, then by place. ``variants`` is
     read a few times and should be a stored table.
     """
-    size = min(n, longest_variant(variants))
-    matches = match_tags(entity_ngrams(entities, field, entity, size, closed_words), variants, entity)
+    longest = min(n, longest_variant(variants))
+    matches = match_tags(entity_ngrams(entities, field, entity, n, closed_words, longest), variants, entity)
     return matches if forbidden is None else drop_forbidden(matches, forbidden, entity)
 
 
