@@ -101,7 +101,7 @@ def near_vectors(
     rows: DataFrame,
     *,
     cosine: float = 0.98,
-    recall: float = 0.999,
+    recall: float = 0.999999,
     sure: float = 5.0,
     seed: int = 23,
     id: str = "vec_id",
