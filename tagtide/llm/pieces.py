@@ -72,13 +72,16 @@ class MergeVocabulary:
 
         The agenda holds candidate merges by rank, then place. A candidate that comes up is skipped with
         probability ``skip``, told from a hash of the key, the run, the place and the merge; it comes
-        again only if a neighbour grows and makes another candidate.
+        again only if a neighbour grows and makes another candidate. The 16 bits compared are those above
+        the 40th of a product, the same in both forms of the agenda.
         """
         bound = int(skip * 65536)
         stream = xxhash.xxh3_64_intdigest(run.encode("utf-8", "surrogatepass"), key) if bound else 0
-        get = self.single.get
-        # Characters without a piece get numbers below 0, which no merge has, and are spelled in bytes.
-        symbols = [get(c, -1 - ord(c)) for c in run]
+        try:
+            symbols = list(map(self.single.__getitem__, run))
+        except KeyError:
+            # Characters without a piece get numbers below 0, which no merge has, and are spelled in bytes.
+            symbols = [self.single.get(c, -1 - ord(c)) for c in run]
         merged = (self._merge_short if len(symbols) <= SHORT else self._merge_long)(symbols, bound, stream)
         if min(merged) < 0:
             spelled: list[int] = []
@@ -88,7 +91,7 @@ class MergeVocabulary:
                 else:
                     spelled.extend(self.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
             merged = spelled
-        return struct.pack(f"<{len(merged)}i", *merged)
+        return (PACK[len(merged)] if len(merged) < len(PACK) else struct.Struct(f"<{len(merged)}i")).pack(*merged)
 
     def _merge_short(self, symbols: list[int], bound: int, stream: int) -> list[int]:
         """The agenda as a list by place: cheaper than a heap for the length of a word."""
@@ -99,7 +102,7 @@ class MergeVocabulary:
             if best == NONE:
                 break
             i = agenda.index(best)
-            if bound and skipped(stream, i, best) < bound:
+            if bound and ((stream ^ (best * 7919 + i * 65537)) * 0x9E3779B97F4A7C15 >> 40) & 0xFFFF < bound:
                 agenda[i] = NONE
                 continue
             both = best % KIND
@@ -121,7 +124,9 @@ class MergeVocabulary:
         grown = [0] * n  # how often the pair that starts at a place has changed
         while agenda:
             best, i, version = heapq.heappop(agenda)
-            if not alive[i] or grown[i] != version or (bound and skipped(stream, i, best) < bound):
+            if not alive[i] or grown[i] != version or (
+                bound and ((stream ^ (best * 7919 + i * 65537)) * 0x9E3779B97F4A7C15 >> 40) & 0xFFFF < bound
+            ):
                 continue
             j = right[i]
             both = symbols[i] = best % KIND
@@ -190,10 +195,8 @@ class MergeVocabulary:
         return b"".join(map(self.bytes_of.__getitem__, numbers))[1:]
 
 
-def skipped(stream: int, place: int, merge: int) -> int:
-    """16 bits for a candidate merge, keyed by the run's hash."""
-    return (((stream ^ (merge * 0x9E3779B1 + place * 0x85EBCA77)) * 0xC2B2AE3D27D4EB4F) >> 47) & 0xFFFF
-
+#: Writers of few ids, the usual case.
+PACK = [struct.Struct(f"<{n}i") for n in range(64)]
 
 #: Above all pieces, above all ranks, and the longest run whose agenda is a list.
 KIND, NONE, SHORT = 1 << 20, 1 << 62, 48
@@ -201,7 +204,7 @@ KIND, NONE, SHORT = 1 << 20, 1 << 62, 48
 class Kept(dict):
     """Segmentations that a worker keeps: ``limit`` of late and as many of before, so that frequent ones stay."""
 
-    limit = 200_000
+    limit = 120_000
 
     def __init__(self):
         super().__init__()
