@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagtide.catalogue.inputs import ADOPTION_SQL, EARLY_SQL, USES_SQL, daily_counts, event_adoption, event_early, event_uses
+from tagtide.catalogue.inputs import ADOPTION_SQL, EARLY_SQL, daily_counts, event_adoption, event_early, event_uses
 from tagtide.catalogue.registry import query
 from tagtide.operators.joins import common_tags, keep_listed
 from tagtide.operators.series import DAY, as_series, tag_week_counts

@@ -9,7 +9,6 @@ from tagtide.catalogue.text import TAG_GRAMS_SQL
 from tagtide.constants import TAGGING_PUNCTUATION
 from tagtide.functions.text import clean_tokens, ngrams, strip_html
 from tagtide.functions.variants import tag_variants
-from tagtide.operators.dictionary import build_variants
 from tagtide.plans.tagging import build_tag_dictionary, tag_entities, tag_mentions
 from tagtide.session import durable
 
