@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.llm.common import map_arrow, map_batches, utf8
-from tagtide.llm.substrings import NO_ID
+
+#: Stands for a missing id: larger than all.
+NO_ID = (1 << 63) - 1
 
 
 class SuffixAutomaton:

@@ -27,7 +27,7 @@ def splitter() -> regex.Pattern:
 class Counts(dict):
     """Token counts of pre-tokens, worked out once; a worker keeps at most ``limit`` of them."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         super().__init__()
         self.encode, self.limit = encoding(path).encode_ordinary, limit
 

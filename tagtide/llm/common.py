@@ -31,13 +31,15 @@ def utf8(text: str) -> Column:
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
 
-def map_batches(df: DataFrame, batch: Callable[[pa.RecordBatch], dict | Iterator[dict]], schema: T.StructType | str) -> DataFrame:
-    """Apply ``batch`` to Arrow batches. It returns columns by name, or yields several such pieces."""
+def map_batches(
+    df: DataFrame, batch: Callable[[pa.RecordBatch], dict | Iterator[dict]], schema: T.StructType | str, rows: int | None = None
+) -> DataFrame:
+    """Apply ``batch`` to Arrow batches, of so many ``rows`` at most. It returns columns by name, or yields several such pieces."""
     struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 
     def run(batches):
-        for one in batches:
+        for one in (part for whole in batches for part in parts_of(whole, rows)):
             made = batch(one)
             for columns in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) for f in arrow], schema=arrow)
@@ -51,6 +53,12 @@ def map_arrow(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def parts_of(batch: pa.RecordBatch, rows: int | None) -> Iterator[pa.RecordBatch]:
+    size = rows or max(1, batch.num_rows)
+    for at in range(0, max(1, batch.num_rows), size):
+        yield batch.slice(at, size)
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagtide.llm.automata import NO_ID, SuffixAutomaton
 from tagtide.llm.common import map_batches, utf8
 from tagtide.session import share_package
 
 #: Odd multipliers of the rolling hashes, and their inverses modulo 2**64.
 BYTE, STEP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-NO_ID = np.iinfo(np.int64).max
 
 
 class Powers:
@@ -75,115 +76,200 @@ def covered(flags: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(edges[:n]) > 0
 
 
-def least_of_runs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For equal keys: an order that sorts them, where runs start, and each entry's least document."""
-    order = np.argsort(keys)
-    starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.zeros(0, np.int64)
-    least = np.minimum.reduceat(docs[order], starts) if len(keys) else docs
-    return order, starts, np.repeat(least, np.diff(np.append(starts, len(keys))))
+def first_and_later(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries sorted by hash: for each hash an entry with its least id; and the entries of larger ids, with their hash's place."""
+    order = np.argsort(hashes)
+    if not len(order):
+        return order, order, order
+    sorted_hashes, sorted_ids = hashes[order], ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_hashes[1:] != sorted_hashes[:-1]]))
+    sizes = np.diff(np.append(starts, len(order)))
+    least = np.repeat(np.minimum.reduceat(sorted_ids, starts), sizes)
+    run = np.repeat(np.arange(len(starts)), sizes)
+    best = np.flatnonzero(sorted_ids == least)
+    first = best[np.concatenate([[True], run[best][1:] != run[best][:-1]])]
+    later = np.flatnonzero(sorted_ids > least)
+    return order[first], order[later], run[later]
 
 
-def packed(place: np.ndarray, owner: np.ndarray, hashes: np.ndarray, columns: tuple[np.ndarray, ...]):
-    """Entries as one row for each place: hashes, run lengths of owners, and columns of the owners."""
+def distinct(a: np.ndarray, b: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of two columns of numbers; those of the second are below ``below``."""
+    both = np.unique(a.astype(np.int64) * below + b)
+    return both // below, both % below
+
+
+def runs_by_place(place: np.ndarray, owner: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """For each place: its hashes in order of owner, the owners, and how many hashes each has."""
     order = np.lexsort((owner, place))
     place, owner, hashes = place[order], owner[order], hashes[order]
     cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(place) else np.zeros(1, np.int64)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        runs = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
-        who = owner[a:b][runs]
-        lengths = np.diff(np.append(runs, b - a)).astype(np.uint32)
-        yield int(place[a]), hashes[a:b].tobytes(), lengths.tobytes(), [c[who].tobytes() for c in columns]
+        starts = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
+        yield int(place[a]), written(hashes[a:b]), owner[a:b][starts], np.diff(np.append(starts, b - a)).astype(np.uint32)
+
+
+def written(hashes: np.ndarray) -> bytes:
+    """Seven bytes of each hash; the lot that it goes to tells the rest."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def column(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+
+def read_hashes(table: pa.Table) -> np.ndarray:
+    found = column(table, "hashes", np.uint8).reshape(-1, 7)
+    return np.concatenate([found, np.zeros((len(found), 1), np.uint8)], 1).reshape(-1).view("<u8")
+
+
+def flag(lengths: np.ndarray, nameless: np.ndarray) -> np.ndarray:
+    """The top bit of a run's length tells that its owner has no id."""
+    return lengths | (nameless.astype(np.uint32) << np.uint32(31))
+
 
+BLOB = "kind int, lot long, hashes binary, runs binary, keys binary, lots binary"
+EMPTY = {"kind": pa.int32(), "lot": pa.int64(), "hashes": pa.binary(), "runs": pa.binary(), "keys": pa.binary(), "lots": pa.binary()}
 
-def remove_repeats(docs: DataFrame, *, size: int = 13, lot_bytes: int = 24 << 20, step_bytes: int = 8 << 20, id: str = "doc_id", text: str = "text", content: bool = False) -> DataFrame:
+
+def blobs(rows: list[tuple]) -> dict[str, list]:
+    return {name: [row[i] for row in rows] for i, name in enumerate(EMPTY)}
+
+
+def remove_repeats(
+    docs: DataFrame,
+    *,
+    size: int = 13,
+    lot_bytes: int = 16 << 20,
+    step_bytes: int = 8 << 20,
+    id: str = "doc_id",
+    text: str = "text",
+    content: bool = False,
+) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept]): texts without words that an earlier document has.
 
     A word goes if it lies in a window of ``size`` words whose words also start in a document with a
-    smaller id; windows are judged on the input. Windows meet by hash, in lots; their number follows
-    the bytes of all texts. A task first settles what meets within its own batch of documents, and
-    sends each window once, with its smallest document, so a passage that every document has is one
-    entry a batch. Verdicts go back to lots of documents. A 64-bit hash stands for a window's words.
+    smaller id; windows are judged on the input. Documents are dealt into lots of some MB, whose number
+    follows the bytes of all texts. Each lot has its own reference shard: the passages that its
+    documents share with earlier ones, quoted from the earliest. A suffix automaton of the shard is
+    built where the lot is, and the lot's documents are streamed through it.
+
+    Which passages a lot needs is found by hashes of windows, which meet in as many lots. A task sends
+    each window of its batch once, with the smallest document, and once for each lot of other documents
+    that have it, so a passage that all documents share is a few entries a batch and one passage a
+    shard. The words decide what is removed; a hash (some 60 bits) only decides what is quoted.
 
     A null or empty text has no words. A null id counts as larger than all ids, and rows with equal
     ids as one document: they remove nothing from each other. No rows give no rows.
     """
     share_package(docs.sparkSession)
-    size_of = F.octet_length(F.col(text)).cast("long")
-    total = docs.agg(F.sum(size_of).alias("b")).first().b or 0
+    total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("b")).first().b or 0
     lots = max(1, -(-total // lot_bytes))
     number = F.col(id).cast("long")
-    keyed = docs.select(F.xxhash64(F.lit(5), id, text).alias("key"), F.col(id).alias("id"), number.alias("doc"), utf8(text).alias("text"))
+    # Rows without an id are told apart by their text.
+    key = F.coalesce(number, F.xxhash64(F.lit(5), text))
+    keyed = docs.select(key.alias("key"), F.col(id).alias("id"), number.alias("doc"), utf8(text).alias("text"))
 
     def windows(batch):
-        """Kind 0: windows with their smallest document, to the lots of windows; kind 1: verdicts to the lots of documents."""
         texts = batch.column(2).to_pylist()
         upto = np.cumsum([len(raw) for raw in texts])
         at = 0
         while at < len(texts):  # some MB of text at a time, or one long text
             end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + step_bytes, "right")))
             keys = batch.column(0).slice(at, end - at).to_numpy()
-            ids = batch.column(1).slice(at, end - at).fill_null(NO_ID).to_numpy()
-            yield columns_of(settled_here(keys, ids, texts[at:end]))
+            nameless = batch.column(1).slice(at, end - at).is_null().to_numpy(zero_copy_only=False)
+            yield blobs(list(sent(keys, nameless, texts[at:end])))
             at = end
 
-    def settled_here(keys, ids, texts):
+    def sent(keys, nameless, texts):
+        """Kind 0: each window with its smallest document. Kind 1: windows that documents of a lot have too."""
+        ids = np.where(nameless, NO_ID, keys)
         made = [window_hashes(raw, size)[1] for raw in texts]
         owner = np.repeat(np.arange(len(made)), [len(m) for m in made])
         hashes = np.concatenate([*made, np.zeros(0, np.uint64)])
-        order, starts, least = least_of_runs(hashes, ids[owner])
-        owner, hashes = owner[order], hashes[order]
-        later = ids[owner] > least
-        rows = [(1, *r) for r in packed((keys[owner[later]] % lots), owner[later], hashes[later], (ids, keys))]
-        # The first of each run may not be the one with the least document: take that one.
-        best = np.flatnonzero(~later)
-        first = best[np.concatenate([[True], hashes[best][1:] != hashes[best][:-1]])] if len(best) else best
-        rows += [(0, *r) for r in packed((hashes[first] % np.uint64(lots)).astype(np.int64), owner[first], hashes[first], (ids, keys))]
-        return rows
-
-    def columns_of(rows):
-        return {
-            "kind": [r[0] for r in rows], "lot": [r[1] for r in rows], "hashes": [r[2] for r in rows],
-            "runs": [r[3] for r in rows], "docs": [r[4][0] for r in rows], "keys": [r[4][1] for r in rows],
-        }
-
-    schema = "kind int, lot long, hashes binary, runs binary, docs binary, keys binary"
-    sent = map_batches(keyed.select("key", "doc", "text"), windows, schema)
+        first, later, run = first_and_later(hashes, ids[owner])
+        firsts = hashes[first]
+        place = (firsts % np.uint64(lots)).astype(np.int64)
+        for lot, found, who, n in runs_by_place(place, owner[first], firsts):
+            yield 0, lot, found, flag(n, nameless[who]).tobytes(), keys[who].tobytes(), b""
+        run, home = distinct(run, keys[owner[later]] % lots, lots)
+        for lot, found, who, n in runs_by_place(place[run], home, firsts[run]):
+            yield 1, lot, found, n.tobytes(), b"", who.tobytes()
 
     def settle(table: pa.Table) -> pa.Table:
-        if table["kind"][0].as_py() == 1:
-            return table
-        hashes, owners, ids, keys = unpack(table)
-        order, _, least = least_of_runs(hashes, ids[owners])
-        owners, hashes = owners[order], hashes[order]
-        later = ids[owners] > least
-        rows = [(1, *r) for r in packed(keys[owners[later]] % lots, owners[later], hashes[later], (ids, keys))]
-        columns = columns_of(rows)
-        kinds = {"kind": pa.int32(), "lot": pa.int64()}
-        return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in columns.items()})
-
-    verdicts = sent.groupBy("kind", "lot").applyInArrow(settle, schema).select("lot", "hashes", "runs", "docs", "keys")
+        """For each window of a lot the earliest document, and the lots of documents to which it is quoted."""
+        kinds = table["kind"].to_numpy()
+        known, wanted = table.filter(pa.array(kinds == 0)), table.filter(pa.array(kinds == 1))
+        hashes, runs = read_hashes(known), column(known, "runs", np.uint32)
+        owners = np.repeat(np.arange(len(runs)), runs & np.uint32(0x7FFFFFFF))
+        keys = column(known, "keys", np.int64)
+        ids = np.where(runs >> np.uint32(31) == 1, NO_ID, keys)
+        first, later, run = first_and_later(hashes, ids[owners])
+        firsts = hashes[first]
+        more = read_hashes(wanted)
+        homes = np.repeat(column(wanted, "lots", np.int64), column(wanted, "runs", np.uint32))
+        run = np.concatenate([run, np.searchsorted(firsts, more)])
+        homes = np.concatenate([keys[owners[later]] % lots, homes])
+        if not len(run):
+            return pa.table({c: pa.array([], k) for c, k in EMPTY.items()})
+        run, homes = distinct(run, homes, lots)
+        source = owners[first][run]
+        rows = [
+            (2, lot, found, n.tobytes(), keys[who // lots].tobytes(), (who % lots).tobytes())
+            for lot, found, who, n in runs_by_place(keys[source] % lots, source * lots + homes, firsts[run])
+        ]
+        return pa.table({c: pa.array(v, EMPTY[c]) for c, v in blobs(rows).items()})
+
+    wanted = map_batches(keyed.select("key", "doc", "text"), windows, BLOB).groupBy("lot").applyInArrow(settle, BLOB)
     homes = keyed.select(F.pmod("key", F.lit(lots)).alias("lot"), "key", "id", "text")
+
+    def quote(pages: pa.Table, asked: pa.Table) -> pa.Table:
+        """Passages of the earliest documents, for the lots that have them too."""
+        wants: dict[int, dict[int, list[np.ndarray]]] = {}
+        for row in range(asked.num_rows):
+            one = asked.slice(row, 1)
+            ends = np.cumsum(column(one, "runs", np.uint32))
+            parts = np.split(read_hashes(one), ends[:-1]) if len(ends) else []
+            for key, lot, part in zip(column(one, "keys", np.int64).tolist(), column(one, "lots", np.int64).tolist(), parts):
+                wants.setdefault(key, {}).setdefault(lot, []).append(part)
+        to, docs_, passages = [], [], []
+        low = np.uint64((1 << 56) - 1)
+        for key, raw in zip(pages["key"].to_pylist(), pages["text"].to_pylist()):
+            if key not in wants:
+                continue
+            words = raw.split()
+            n, hashes = window_hashes(raw, size)
+            hashes &= low
+            for lot, parts in wants[key].items():
+                edges = np.diff(np.concatenate([[0], covered(np.isin(hashes, np.concatenate(parts)), n, size).astype(np.int8), [0]]))
+                spans = zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist())
+                to.append(lot)
+                docs_.append(key)
+                passages.append(b"\n".join(b" ".join(words[a:b]) for a, b in spans))
+        return pa.table({"lot": pa.array(to, pa.int64()), "doc": pa.array(docs_, pa.int64()), "passages": pa.array(passages, pa.binary())})
+
+    quotes = homes.groupBy("lot").cogroup(wanted.groupBy("lot")).applyInArrow(quote, "lot long, doc long, passages binary")
     kind = docs.schema[id].dataType.simpleString()
 
-    def apply(pages: pa.Table, found: pa.Table) -> pa.Table:
-        gone: dict[int, list[np.ndarray]] = {}
-        for row in range(found.num_rows):
-            one = found.slice(row, 1)
-            hashes, owners, _, keys = unpack(one)
-            cuts = np.flatnonzero(np.diff(owners)) + 1
-            for key, part in zip(keys.tolist(), np.split(hashes, cuts) if len(hashes) else []):
-                gone.setdefault(key, []).append(part)
+    def stream(pages: pa.Table, shard: pa.Table) -> pa.Table:
+        """Matching statistics of a lot's documents against its reference shard."""
+        automaton = SuffixAutomaton()
+        for doc, passages in sorted(zip(shard["doc"].to_pylist(), shard["passages"].to_pylist())):
+            for passage in passages.split(b"\n"):
+                automaton.add(passage.split(), doc)
         words_, removed, digests, texts = [], [], [], []
-        for key, raw in zip(pages["key"].to_pylist(), pages["text"].to_pylist()):
+        for key, named, raw in zip(pages["key"].to_pylist(), pages["id"].is_valid().to_pylist(), pages["text"].to_pylist()):
             words = raw.split()
+            starts = automaton.matched(words, key if named else NO_ID, size)
             out = 0
-            if key in gone:
-                n, hashes = window_hashes(raw, size)
-                mask = covered(np.isin(hashes, np.concatenate(gone[key])), n, size)
+            if starts:
+                hits = np.zeros(len(words), bool)
+                hits[starts] = True
+                mask = covered(hits, len(words), size)
                 out = int(mask.sum())
-                kept = b" ".join([w for w, m in zip(words, mask.tolist()) if not m])
+                words_left = [w for w, gone in zip(words, mask.tolist()) if not gone]
             else:
-                kept = b" ".join(words)
+                words_left = words
+            kept = b" ".join(words_left)
             words_.append(len(words))
             removed.append(out)
             digests.append(hashlib.sha256(kept).hexdigest())
@@ -192,11 +278,4 @@ def remove_repeats(docs: DataFrame, *, size: int = 13, lot_bytes: int = 24 << 20
         return pa.table(made | ({"kept": pa.array(texts, pa.string())} if content else {}))
 
     out = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept string" if content else "")
-    return homes.groupBy("lot").cogroup(verdicts.groupBy("lot")).applyInArrow(apply, out).withColumnRenamed("id", id)
-
-
-def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, the place of each one's owner, and ids and keys of the owners, from rows of ``packed``."""
-    join = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
-    runs = join("runs", np.uint32)
-    return join("hashes", np.uint64), np.repeat(np.arange(len(runs)), runs), join("docs", np.int64), join("keys", np.int64)
+    return homes.groupBy("lot").cogroup(quotes.groupBy("lot")).applyInArrow(stream, out).withColumnRenamed("id", id)

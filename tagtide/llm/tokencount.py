@@ -182,7 +182,7 @@ def count_tokens(docs: DataFrame, ranks: str, *, text: str = "text") -> DataFram
             "n_tokens": [int(m[1].sum()) for m in made],
         }
 
-    return map_batches(docs, run, f"{_ddl(docs)}, {extra}")
+    return map_batches(docs, run, f"{_ddl(docs)}, {extra}", rows=1_000)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -230,4 +230,4 @@ def apply_edits(state: DataFrame, ranks: str, *, text: str = "text", edits: str
             text: page, "pre_lengths": as_lists(lengths), "pre_tokens": as_lists(tokens), "n_tokens": total, "n_encoded": encoded
         }
 
-    return map_batches(state, run, f"{_ddl(state.select(*kept))}, n_encoded long")
+    return map_batches(state, run, f"{_ddl(state.select(*kept))}, n_encoded long", rows=1_000)
