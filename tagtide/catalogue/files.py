@@ -102,14 +102,19 @@ def synonyms_from_json(spark, sf_dir):
     return read_json_map(spark, f"{folder}/*", "synonym", "master")
 
 
-@query("SELECT html, count(*) AS n FROM pages GROUP BY html")
+@query(
+    """
+SELECT CAST(page_id % 200 AS INTEGER) AS shelf, string_agg(html || chr(10), '' ORDER BY page_id) AS html
+FROM pages GROUP BY page_id % 200"""
+)
 def pages_from_files(spark, sf_dir):
-    """Each page is a file; the path tells them apart."""
+    """Pages are written to 200 files, and each file is read as one text."""
     folder = _new_folder(spark)
-    pages = table(spark, sf_dir, "pages").select(F.col("html").alias("value"), "page_id")
-    pages.write.option("lineSep", "\0").partitionBy("page_id").text(folder)
-    read = read_page_files(spark, f"{folder}/*")
-    return read.select("path", F.rtrim(F.col("html"), F.lit("\0")).alias("html")).distinct().groupBy("html").agg(F.count("*").alias("n"))
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 200).cast("int").alias("shelf"), "page_id", "html")
+    shelved = pages.repartition("shelf").sortWithinPartitions("shelf", "page_id")
+    shelved.select("shelf", F.col("html").alias("value")).write.partitionBy("shelf").text(folder)
+    shelf = F.regexp_extract("path", "shelf=([0-9]+)", 1).cast("int").alias("shelf")
+    return read_page_files(spark, f"{folder}/*").select(shelf, "html")
 
 
 @query("SELECT conv_id AS id, count(*) AS n FROM conversations GROUP BY conv_id")
