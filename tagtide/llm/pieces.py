@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from collections.abc import Iterable
@@ -28,7 +29,7 @@ class MergeVocabulary:
     """
 
     def __init__(self, path: str):
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         ids: dict[str, int] = {}
         self.byte_ids = [0] * 256
@@ -49,8 +50,6 @@ class MergeVocabulary:
             self.bytes_of[i] = bytes([value])
         # Spaces are spaces here, and a written U+2581 is a character without a piece.
         self.single = {p.replace(SPACE, " "): i for p, i in ids.items() if len(p) == 1}
-        #: Neighbours that some piece has; no merge crosses a place whose two characters are not among them.
-        self.joined = {p[k : k + 2].replace(SPACE, " ") for p in ids for k in range(len(p) - 1)}
         order = {i: n for n, i in enumerate(sorted(ids.values(), key=lambda i: (-model.get_score(i), i)))}
         rank = {}
         for i in ids.values():  # equal scores are equal ranks: the place then decides
@@ -67,22 +66,18 @@ class MergeVocabulary:
         """Runs of a text with a space put before it."""
         return re.findall(r" *[^ ]+| +", " " + text) if text else []
 
-    def encode_run(self, run: str, skip: float = 0.0, key: int = 0) -> bytes:
+    def encode_run(self, run: str, skips: Skips | None = None) -> bytes:
         """Ids of one run as little-endian int32.
 
-        The agenda holds candidate merges by rank, then place. A candidate that comes up is skipped with
-        probability ``skip``, told from a hash of the key, the run, the place and the merge; it comes
-        again only if a neighbour grows and makes another candidate. The 16 bits compared are those above
-        the 40th of a product, the same in both forms of the agenda.
+        The agenda holds candidate merges by rank, then place. ``skips`` tells which of the candidates
+        that come up are skipped; one comes again only if a neighbour grows and makes another candidate.
         """
-        bound = int(skip * 65536)
-        stream = xxhash.xxh3_64_intdigest(run.encode("utf-8", "surrogatepass"), key) if bound else 0
         try:
-            symbols = list(map(self.single.__getitem__, run))
+            symbols = [*map(self.single.__getitem__, run)]
         except KeyError:
             # Characters without a piece get numbers below 0, which no merge has, and are spelled in bytes.
             symbols = [self.single.get(c, -1 - ord(c)) for c in run]
-        merged = (self._merge_short if len(symbols) <= SHORT else self._merge_long)(symbols, bound, stream)
+        merged = (self._merge_short if len(symbols) <= SHORT else self._merge_long)(symbols, skips or Skips.none())
         if min(merged) < 0:
             spelled: list[int] = []
             for i in merged:
@@ -91,20 +86,23 @@ class MergeVocabulary:
                 else:
                     spelled.extend(self.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
             merged = spelled
-        return (PACK[len(merged)] if len(merged) < len(PACK) else struct.Struct(f"<{len(merged)}i")).pack(*merged)
+        return packed(merged)
 
-    def _merge_short(self, symbols: list[int], bound: int, stream: int) -> list[int]:
+    def _merge_short(self, symbols: list[int], skips: Skips) -> list[int]:
         """The agenda as a list by place: cheaper than a heap for the length of a word."""
         get = self.merges.get
         agenda = [get(a * KIND + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        left = skips.gap()
         while agenda:
             best = min(agenda)
             if best == NONE:
                 break
             i = agenda.index(best)
-            if bound and ((stream ^ (best * 7919 + i * 65537)) * 0x9E3779B97F4A7C15 >> 40) & 0xFFFF < bound:
+            if not left:
+                left = skips.gap()
                 agenda[i] = NONE
                 continue
+            left -= 1
             both = best % KIND
             symbols[i] = both
             del symbols[i + 1], agenda[i]
@@ -114,7 +112,7 @@ class MergeVocabulary:
                 agenda[i - 1] = get(symbols[i - 1] * KIND + both, NONE)
         return symbols
 
-    def _merge_long(self, symbols: list[int], bound: int, stream: int) -> list[int]:
+    def _merge_long(self, symbols: list[int], skips: Skips) -> list[int]:
         """The agenda as a heap, and neighbours as linked places."""
         get, n = self.merges.get, len(symbols)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -122,12 +120,15 @@ class MergeVocabulary:
         agenda = [(m, i, 0) for i, m in enumerate(get(a * KIND + b, NONE) for a, b in zip(symbols, symbols[1:])) if m != NONE]
         heapq.heapify(agenda)
         grown = [0] * n  # how often the pair that starts at a place has changed
+        until = skips.gap()
         while agenda:
             best, i, version = heapq.heappop(agenda)
-            if not alive[i] or grown[i] != version or (
-                bound and ((stream ^ (best * 7919 + i * 65537)) * 0x9E3779B97F4A7C15 >> 40) & 0xFFFF < bound
-            ):
+            if not alive[i] or grown[i] != version:
                 continue
+            if not until:
+                until = skips.gap()
+                continue
+            until -= 1
             j = right[i]
             both = symbols[i] = best % KIND
             alive[j] = False
@@ -144,48 +145,66 @@ class MergeVocabulary:
                     heapq.heappush(agenda, (m, h, grown[h]))
         return [s for s, ok in zip(symbols, alive) if ok]
 
-    def encode(self, text: str, skip: float = 0.0, seed: int = 0, variants: int = 1, doc_key: int = 0, caches: list[Kept] | None = None) -> bytes:
-        """Ids of a text. The k-th run draws one of ``variants`` keys from the seed, the text's key and k.
+    def plain(self, runs: list[str]) -> dict[str, tuple[bytes, int]]:
+        """Ids of runs when no merge is skipped, and how many merges that takes.
 
-        A run has at most ``variants`` segmentations under a seed, each worked out once and then looked
-        up in ``caches``, a dictionary for each variant.
+        The library encodes them, behind the space that it puts first. It reads U+2581 as a space and its own way of spelling hides the number
+        of merges, so runs with such characters go through the agenda here.
         """
-        caches = [Kept() for _ in range(variants)] if caches is None else caches
-        runs = self.split(text)
-        if not skip or variants == 1:
-            drawn = bytes(len(runs))
-        else:
-            places = np.arange(len(runs), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(doc_key & 0xFFFFFFFFFFFFFFFF)
-            places ^= places >> np.uint64(31)
-            places *= np.uint64(0xD6E8FEB86659FD93)
-            drawn = ((places >> np.uint64(40)) % np.uint64(variants)).astype(np.uint8).tobytes()
-        out = []
-        for run, v in zip(runs, drawn):
-            known = caches[v].get(run)
-            if known is None:
-                known = self.encode_parts(run, skip, seed * 256 + v, caches[v])
-            out.append(known)
-        return b"".join(out)
-
-    def encode_parts(self, run: str, skip: float, key: int, cache: Kept) -> bytes:
-        """Ids of a run, part by part where no merge crosses, such as between a word and a full stop."""
-        known = cache.recall(run)
-        if known is not None:
-            return known
-        joined, at, out = self.joined, 0, []
-        for k in range(1, len(run) + 1):
-            if k == len(run) or run[k - 1 : k + 1] not in joined:
-                part = run[at:k]
-                at = k
-                known = cache.get(part) or cache.recall(part)
-                if known is None:
-                    known = self.encode_run(part, skip, key)
-                    cache.keep(part, known)
-                out.append(known)
-        if len(out) > 1:
-            cache.keep(run, known := b"".join(out))
+        usual = [run for run in runs if run != " " and "\0" not in run and (run.isascii() or self.single.keys() >= set(run))]
+        known = {}
+        for run, ids in zip(usual, self.library.encode([run[1:] for run in usual], num_threads=1)):
+            known[run] = packed(ids), len(run) - len(ids)
+        for run in runs if len(known) < len(runs) else ():
+            if run not in known:
+                # Here merges are not counted: one for each character is more than enough to go and look.
+                known[run] = self.encode_run(run), len(run)
         return known
 
+    def encode_many(
+        self, texts: list[str], skip: float = 0.0, seed: int = 0, variants: int = 1, keys: list[int] | None = None, kept: Kept | None = None
+    ) -> list[bytes]:
+        """Ids of texts. A text's k-th run draws one of ``variants`` keys from the seed, the text's key and k.
+
+        A run has at most ``variants`` segmentations under a seed, each worked out once and then looked up
+        in ``kept``. A hash of key and run tells how many candidate merges pass before one is skipped:
+        where that is more than the run has, nothing is skipped and the plain ids stand.
+        """
+        kept = Kept(variants) if kept is None else kept
+        made: list[list] = []
+        missing: list[tuple[list, int, str, int, bytes | None]] = []
+        unknown: dict[str, None] = {}
+        for t, text in enumerate(texts):
+            runs = self.split(text)
+            drawn = bytes(len(runs)) if not skip or variants == 1 else draws(len(runs), keys[t] if keys else 0, variants)
+            late, before = kept.late, kept.before
+            out = [late[v].get(run) for run, v in zip(runs, drawn)]
+            if None in out:
+                for k, known in enumerate(out):
+                    if known is None:
+                        run, v = runs[k], drawn[k]
+                        old = before[v].get(run)
+                        missing.append((out, k, run, v, old))
+                        if old is None:
+                            unknown[run] = None
+            made.append(out)
+        plain = self.plain(list(unknown))
+        gaps, digest = gap_table(skip), xxhash.xxh3_64_intdigest
+        for out, k, run, v, known in missing:
+            if run not in kept.late[v]:
+                if known is None:
+                    known, merges = plain[run]
+                    if skip:
+                        bits = digest(run.encode("utf-8", "surrogatepass"), seed * 256 + v)
+                        if gaps[bits & 4095] < merges:
+                            known = self.encode_run(run, Skips(gaps, bits))
+                kept.keep(run, v, known)
+            out[k] = known or kept.late[v][run]
+        return [b"".join(out) for out in made]
+
+    def encode(self, text: str, skip: float = 0.0, seed: int = 0, variants: int = 1, doc_key: int = 0) -> bytes:
+        return self.encode_many([text], skip, seed, variants, [doc_key])[0]
+
     def decode(self, ids: bytes | Iterable[int]) -> str:
         return self.bytes_from(ids).decode("utf-8", "surrogatepass")
 
@@ -198,29 +217,68 @@ class MergeVocabulary:
 #: Writers of few ids, the usual case.
 PACK = [struct.Struct(f"<{n}i") for n in range(64)]
 
+
+def packed(ids: list[int]) -> bytes:
+    return (PACK[len(ids)] if len(ids) < len(PACK) else struct.Struct(f"<{len(ids)}i")).pack(*ids)
+
+
+def draws(n: int, doc_key: int, variants: int) -> bytes:
+    """A variant for each of ``n`` places of a text."""
+    places = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(doc_key & 0xFFFFFFFFFFFFFFFF)
+    places ^= places >> np.uint64(31)
+    places *= np.uint64(0xD6E8FEB86659FD93)
+    return ((places >> np.uint64(40)) % np.uint64(variants)).astype(np.uint8).tobytes()
+
+
+@lru_cache(8)
+def gap_table(skip: float) -> tuple[int, ...]:
+    """How many candidates pass before the next is skipped, for 4,096 equally likely draws."""
+    if skip <= 0:
+        return (NONE,) * 4096
+    if skip >= 1:
+        return (0,) * 4096
+    return tuple(int(math.log(1 - (k + 0.5) / 4096) / math.log(1 - skip)) for k in range(4096))
+
+
+class Skips:
+    """Which candidate merges of a run are skipped, told from a hash of a key and the run."""
+
+    def __init__(self, gaps: tuple[int, ...], bits: int):
+        self.gaps, self.bits, self.left = gaps, bits << 12, 6
+
+    @classmethod
+    def none(cls) -> Skips:
+        return cls(gap_table(0.0), 0)
+
+    def gap(self) -> int:
+        """The candidates that pass before the next skip: 12 bits of the hash, hashed again when they are used up."""
+        if not self.left:
+            self.bits, self.left = xxhash.xxh3_64_intdigest(self.bits.to_bytes(8, "little"), 1), 6
+        else:
+            self.bits >>= 12
+        self.left -= 1
+        return self.gaps[self.bits & 4095]
+
+
 #: Above all pieces, above all ranks, and the longest run whose agenda is a list.
 KIND, NONE, SHORT = 1 << 20, 1 << 62, 48
 
-class Kept(dict):
-    """Segmentations that a worker keeps: ``limit`` of late and as many of before, so that frequent ones stay."""
 
-    limit = 120_000
+class Kept:
+    """Segmentations that a worker keeps: ``limit`` of late for each variant and as many of before, so that frequent ones stay."""
 
-    def __init__(self):
-        super().__init__()
-        self.before: dict[str, bytes] = {}
+    limit = 200_000
 
-    def recall(self, run: str) -> bytes | None:
-        known = self.before.get(run)
-        if known is not None:
-            self.keep(run, known)
-        return known
+    def __init__(self, variants: int):
+        self.late: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.before: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
-    def keep(self, run: str, known: bytes) -> None:
-        if len(self) >= self.limit:
-            self.before = dict(self)
-            self.clear()
-        self[run] = known
+    def keep(self, run: str, v: int, known: bytes) -> None:
+        late = self.late[v]
+        if len(late) >= self.limit:
+            self.before[v] = late
+            late = self.late[v] = {}
+        late[run] = known
 
 
 @lru_cache(2)
@@ -229,9 +287,9 @@ def vocabulary(path: str) -> MergeVocabulary:
 
 
 @lru_cache(2)
-def caches_of(path: str, skip: float, seed: int, variants: int) -> list[Kept]:
-    """Kept between the tasks of a worker."""
-    return [Kept() for _ in range(variants)]
+def kept_by(path: str, skip: float, seed: int, variants: int) -> Kept:
+    """Stays between the tasks of a worker."""
+    return Kept(variants)
 
 
 def encode_documents(
@@ -247,23 +305,20 @@ def encode_documents(
         raise ValueError("variants must be 1 to 256")
 
     def run(batch):
-        vocab, caches = vocabulary(model), caches_of(model, skip, seed, variants)
+        vocab, kept = vocabulary(model), kept_by(model, skip, seed, variants)
         keys, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         # In pieces, because ids take more room than the text they stand for.
         for at in range(0, len(texts), 256):
-            ids, chars, good = [], [], []
-            for key, raw in zip(keys[at : at + 256], texts[at : at + 256]):
-                page = raw.decode("utf-8", "surrogatepass")
-                made = vocab.encode(page, skip, seed, variants, key, caches)
-                ids.append(np.frombuffer(made, "<i4"))
-                chars.append(len(page))
-                good.append(vocab.bytes_from(made) == raw)
+            raws = texts[at : at + 256]
+            pages = [raw.decode("utf-8", "surrogatepass") for raw in raws]
+            made = vocab.encode_many(pages, skip, seed, variants, keys[at : at + 256], kept)
+            ids = [np.frombuffer(m, "<i4") for m in made]
             yield {
                 "id": batch.column(0).slice(at, 256),
                 "pieces": ids,
                 "n_pieces": list(map(len, ids)),
-                "text_chars": chars,
-                "lossless": good,
+                "text_chars": list(map(len, pages)),
+                "lossless": [vocab.bytes_from(m) == raw for m, raw in zip(made, raws)],
             }
 
     kind = docs.schema[id].dataType.simpleString()

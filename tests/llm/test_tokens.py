@@ -112,7 +112,22 @@ def test_short_and_long_agendas_agree():
     for _ in range(200):
         run = " " + "".join(rnd.choice("thereationsing") for _ in range(rnd.randint(1, 30)))
         symbols = [vocab.single.get(c, -1 - ord(c)) for c in run]
-        assert vocab._merge_short(list(symbols), 0, 0) == vocab._merge_long(list(symbols), 0, 0)
+        for gaps in (pieces.gap_table(0.0), pieces.gap_table(0.4)):
+            bits = rnd.getrandbits(64)
+            short = vocab._merge_short(list(symbols), pieces.Skips(gaps, bits))
+            assert short == vocab._merge_long(list(symbols), pieces.Skips(gaps, bits))
+
+
+def test_merges_are_skipped_as_often_as_asked_for():
+    vocab, rnd = pieces.vocabulary(PIECES), random.Random(3)
+    gaps = pieces.gap_table(0.1)
+    assert abs(np.mean(gaps) - 9) < 0.1
+    runs = [" " + "".join(rnd.choice("thereationsing") for _ in range(7)) for _ in range(4_000)]
+    for run, (ids, merges) in vocab.plain(runs).items():
+        bits = rnd.getrandbits(64)
+        if gaps[bits & 4095] >= merges:
+            assert vocab.encode_run(run, pieces.Skips(gaps, bits)) == ids
+        assert vocab.encode_run(run) == ids
 
 
 @pytest.mark.parametrize("skip", [0.0, 0.1, 0.7, 1.0])
@@ -124,6 +139,19 @@ def test_dropout_varies_and_decodes(documents, skip):
     assert all(vocab.decode(m) == text for m in made)
 
 
+def test_what_is_kept_changes_nothing(documents, monkeypatch):
+    """Also where so little is kept that runs are forgotten between their first and their next use."""
+    vocab = pieces.vocabulary(PIECES)
+    texts = [d["text"] or "" for d in documents]
+    keys = list(range(len(texts)))
+    alone = [vocab.encode(t, 0.1, 3, 4, k) for t, k in zip(texts, keys)]
+    for limit in (1, 5, 300, 200_000):
+        monkeypatch.setattr(pieces.Kept, "limit", limit)
+        kept = pieces.Kept(4)
+        for _ in range(2):
+            assert [m for at in range(0, len(texts), 7) for m in vocab.encode_many(texts[at : at + 7], 0.1, 3, 4, keys[at : at + 7], kept)] == alone
+
+
 def test_encoded_documents(awkward, documents, empty):
     encoded = pieces.encode_documents(awkward, PIECES)
     assert encoded.where("NOT lossless").count() == 0
