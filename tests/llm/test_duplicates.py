@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from awkward_tables import awkward, documents, empty  # noqa: F401
 from brute import components, one_edit
 from tagtide.llm import automata, lines, simhash, substrings, vectors
 from tagtide.llm.common import smallest_reachable

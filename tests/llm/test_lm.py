@@ -8,6 +8,7 @@ from functools import lru_cache
 import pytest
 from pyspark.sql import functions as F
 
+from awkward_tables import awkward, documents, empty  # noqa: F401
 from tagtide.llm import lm
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"

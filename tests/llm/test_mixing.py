@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+from awkward_tables import awkward, documents, empty  # noqa: F401
 from tagtide.llm import mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

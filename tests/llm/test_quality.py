@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+from awkward_tables import awkward, documents, empty  # noqa: F401
 from tagtide.llm import quality
 
 

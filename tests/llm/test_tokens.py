@@ -8,6 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from awkward_tables import awkward, documents, empty  # noqa: F401
 from tagtide.llm import bytepairs, packing, pieces, tokencount
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -147,8 +148,10 @@ def test_what_is_kept_changes_nothing(documents, monkeypatch):
     alone = [vocab.encode(t, 0.1, 3, 4, k) for t, k in zip(texts, keys)]
     for limit in (1, 5, 300, 200_000):
         monkeypatch.setattr(pieces.Kept, "limit", limit)
-        kept = pieces.Kept(4)
+        monkeypatch.setattr(pieces.Kept, "core", limit // 2)
+        cores = [{}, {}, {}, {}]
         for _ in range(2):
+            kept = pieces.Kept(4, cores)
             assert [m for at in range(0, len(texts), 7) for m in vocab.encode_many(texts[at : at + 7], 0.1, 3, 4, keys[at : at + 7], kept)] == alone
 
 
