@@ -265,12 +265,17 @@ KIND, NONE, SHORT = 1 << 20, 1 << 62, 48
 
 
 class Kept:
-    """Segmentations that a worker keeps: ``limit`` of late for each variant and as many of before, so that frequent ones stay."""
+    """Segmentations that a task keeps: ``limit`` of late for each variant and as many of before.
 
-    limit = 200_000
+    A task starts from the first ``core`` runs that its worker has met, most of them frequent ones, and
+    gives the rest back when it ends.
+    """
+
+    limit, core = 200_000, 50_000
 
-    def __init__(self, variants: int):
-        self.late: list[dict[str, bytes]] = [{} for _ in range(variants)]
+    def __init__(self, variants: int, cores: list[dict[str, bytes]] | None = None):
+        self.cores = cores if cores is not None else [{} for _ in range(variants)]
+        self.late = [dict(known) for known in self.cores]
         self.before: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     def keep(self, run: str, v: int, known: bytes) -> None:
@@ -279,6 +284,8 @@ class Kept:
             self.before[v] = late
             late = self.late[v] = {}
         late[run] = known
+        if len(late) == self.core and not self.cores[v]:
+            self.cores[v] = dict(late)
 
 
 @lru_cache(2)
@@ -287,9 +294,9 @@ def vocabulary(path: str) -> MergeVocabulary:
 
 
 @lru_cache(2)
-def kept_by(path: str, skip: float, seed: int, variants: int) -> Kept:
+def cores_of(path: str, skip: float, seed: int, variants: int) -> list[dict[str, bytes]]:
     """Stays between the tasks of a worker."""
-    return Kept(variants)
+    return [{} for _ in range(variants)]
 
 
 def encode_documents(
@@ -304,8 +311,13 @@ def encode_documents(
     if not 1 <= variants <= 256:
         raise ValueError("variants must be 1 to 256")
 
+    task: list[Kept] = []  # a copy for each task
+
     def run(batch):
-        vocab, kept = vocabulary(model), kept_by(model, skip, seed, variants)
+        vocab = vocabulary(model)
+        if not task:
+            task.append(Kept(variants, cores_of(model, skip, seed, variants)))
+        kept = task[0]
         keys, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         # In pieces, because ids take more room than the text they stand for.
         for at in range(0, len(texts), 256):
@@ -323,7 +335,7 @@ def encode_documents(
 
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.lit(seed), id), utf8(text))
-    made = map_batches(rows, run, f"id {kind}, pieces array<int>, n_pieces long, text_chars long, lossless boolean")
+    made = map_batches(rows, run, f"id {kind}, pieces array<int>, n_pieces long, text_chars long, lossless boolean", rows=2_000)
     return made.withColumnRenamed("id", id)
 
 
