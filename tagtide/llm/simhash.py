@@ -17,6 +17,8 @@ from tagtide.session import durable
 BLOCKS, WIDTH, PIVOTS = 4, 16, 16
 #: A group of fingerprints above this size is cut into pieces that meet in pairs.
 MOST = 4_096
+#: So many row numbers are sent to all tasks at most.
+FEW = 500_000
 
 
 def fingerprint(raw: bytes, shingle: int = 3) -> int:
@@ -160,13 +162,30 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return known.join(named, "fp").select(F.col("id").alias(id), shown.alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, *, id: str = "doc_id", text: str = "text", bits: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group. Rows that repeat that id stay once.
+def one_of_each_group(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", bits: int = 2, shingle: int = 3, nulls: bool = False
+) -> DataFrame:
+    """One row of ``docs`` of each group: the one with the smallest id, of rows with that id the first stored.
 
-    Rows with a null id are kept: they cannot be told apart from other documents by an id.
+    Rows with a null id are kept, unless ``nulls`` has them compared too: then they come last in a group.
     """
-    found = near_duplicates(docs.where(F.col(id).isNotNull()), id=id, text=text, bits=bits, shingle=shingle)
-    key = free_name(docs, "_kept_id")
-    kept = found.where(F.col(id) == F.col("component_id")).select(F.col(id).alias(key)).distinct()
-    stay = docs.where(F.col(id).isNotNull()).join(kept, F.col(id) == F.col(key), "left_semi")
-    return stay.unionByName(docs.where(F.col(id).isNull()))
+    stored, row = numbered(docs)
+    found = near_duplicates(stored if nulls else stored.where(F.col(id).isNotNull()), id=row, text=text, bits=bits, shingle=shingle)
+    groups = found.select(F.col(row).alias("row"), F.col("component_id").alias("component"))
+    return first_of_groups(stored, row, groups, id)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` stored with a number for each row, and the name of its column."""
+    row = free_name(docs, "_row_number")
+    return durable(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def first_of_groups(stored: DataFrame, row: str, groups: DataFrame, id: str) -> DataFrame:
+    """Rows of ``stored`` without those that ``groups`` (row, component) puts behind another row, ids before rows, null ids last."""
+    ids = stored.select(F.col(row).alias("row"), F.col(id).alias("id"))
+    placed = durable(groups.join(ids, "row").select("row", "component", F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("place")))
+    first = placed.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = durable(placed.join(first.select("component", F.col("first.row").alias("stays")), "component").where("row <> stays").select(F.col("row").alias(row)))
+    # A few go to all tasks, so that the texts stay where they are.
+    return stored.join(F.broadcast(gone) if gone.count() <= FEW else gone, row, "left_anti").drop(row)

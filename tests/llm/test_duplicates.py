@@ -86,6 +86,14 @@ def test_one_of_each_group_stays(awkward, empty):
     assert kept.where("doc_id IS NULL").count() == 2 and simhash.one_of_each_group(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, and a repeated id whose second text belongs to another group."""
+    pages = [" ".join(f"{w}{i}" for i in range(40)) for w in ("a", "b", "c")]
+    rows = [(1, pages[0]), (1, pages[0]), (1, pages[1]), (0, pages[1]), (5, pages[2]), (5, pages[2]), (6, pages[2]), (None, pages[2])]
+    kept = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), nulls=True)
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([(1, pages[0]), (0, pages[1]), (5, pages[2])])
+
+
 # Embeddings
 
 
