@@ -10,7 +10,7 @@ import xxhash
 
 from awkward_tables import awkward, documents, empty  # noqa: F401
 from brute import components, one_edit
-from tagtide.llm import automata, lines, simhash, substrings, vectors
+from tagtide.llm import automata, lines, similar, simhash, substrings, vectors
 from tagtide.llm.common import smallest_reachable
 
 
@@ -94,6 +94,49 @@ def test_one_row_of_each_group_stays(spark):
     assert Counter(tuple(r) for r in kept.collect()) == Counter([(1, pages[0]), (0, pages[1]), (5, pages[2])])
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b) > 0
+
+
+@pytest.mark.parametrize("most", [similar.MOST, 4])
+def test_planted_near_copies_fall(spark, monkeypatch, most):
+    """Copies with some words changed, on both sides of the bound, in chains and in a large group, and repeated rows."""
+    monkeypatch.setattr(similar, "MOST", most)
+    rnd = random.Random(6)
+    rows = [(k, t) for k, t in enumerate([None, "", "one two", "One  two", "one three"])]
+    for size in (40, 120, 600):
+        for changes in (1, 2, 3, 6, 9, 12, 16):
+            words = [f"w{rnd.randint(0, 9_999)}" for _ in range(size)]
+            for _ in range(3):
+                rows.append((len(rows), " ".join(words)))
+                for at in rnd.sample(range(size), changes):
+                    words[at] += "x"
+    words = [f"v{i}" for i in range(200)]
+    for _ in range(30):
+        rows.append((len(rows), " ".join("y" if i == rnd.randint(0, 199) else w for i, w in enumerate(words))))
+    rows += [rows[9], rows[9], (None, rows[9][1]), (None, "alone without an id")]
+    sets = [shingles(t) for _, t in rows]
+    joined = components(range(len(rows)), lambda a, b: alike(sets[a], sets[b]))
+    best = {}
+    for at, c in joined.items():
+        place = (rows[at][0] is None, rows[at][0] or 0)
+        best[c] = min(best.get(c, (place, at)), (place, at))
+    kept = similar.one_of_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(rows[at][0] for _, at in best.values())
+    prints = [simhash.fingerprint((t or "").encode()) for _, t in rows]
+    assert any(alike(sets[a], sets[b]) and (prints[a] ^ prints[b]).bit_count() > 2 for a in range(len(rows)) for b in range(a))
+
+
+def test_one_of_similar_of_awkward_rows(awkward, empty):
+    kept = similar.one_of_similar(awkward)
+    assert kept.schema == awkward.schema and similar.one_of_similar(empty).count() == 0
+
+
 # Embeddings
 
 
