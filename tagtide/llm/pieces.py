@@ -67,7 +67,10 @@ class MergeVocabulary:
         return re.findall(r" *[^ ]+| +", " " + text) if text else []
 
     def encode_run(self, run: str, skips: Skips | None = None) -> bytes:
-        """Ids of one run as little-endian int32.
+        return self.encode_counted(run, skips)[0]
+
+    def encode_counted(self, run: str, skips: Skips | None = None) -> tuple[bytes, int]:
+        """Ids of one run as little-endian int32, and the number of merges.
 
         The agenda holds candidate merges by rank, then place. ``skips`` tells which of the candidates
         that come up are skipped; one comes again only if a neighbour grows and makes another candidate.
@@ -78,6 +81,7 @@ class MergeVocabulary:
             # Characters without a piece get numbers below 0, which no merge has, and are spelled in bytes.
             symbols = [self.single.get(c, -1 - ord(c)) for c in run]
         merged = (self._merge_short if len(symbols) <= SHORT else self._merge_long)(symbols, skips or Skips.none())
+        merges = len(run) - len(merged)
         if min(merged) < 0:
             spelled: list[int] = []
             for i in merged:
@@ -86,7 +90,7 @@ class MergeVocabulary:
                 else:
                     spelled.extend(self.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass"))
             merged = spelled
-        return packed(merged)
+        return packed(merged), merges
 
     def _merge_short(self, symbols: list[int], skips: Skips) -> list[int]:
         """The agenda as a list by place: cheaper than a heap for the length of a word."""
@@ -157,19 +161,21 @@ class MergeVocabulary:
             known[run] = packed(ids), len(run) - len(ids)
         for run in runs if len(known) < len(runs) else ():
             if run not in known:
-                # Here merges are not counted: one for each character is more than enough to go and look.
-                known[run] = self.encode_run(run), len(run)
+                known[run] = self.encode_counted(run)
         return known
 
     def encode_many(
-        self, texts: list[str], skip: float = 0.0, seed: int = 0, variants: int = 1, keys: list[int] | None = None, kept: Kept | None = None
+        self, texts: list[str], skip: float = 0.0, seed: int = 0, variants: int = 0, keys: list[int] | None = None, kept: Kept | None = None
     ) -> list[bytes]:
-        """Ids of texts. A text's k-th run draws one of ``variants`` keys from the seed, the text's key and k.
+        """Ids of texts. Each run draws its skips from the seed, the text's key and its place.
 
-        A run has at most ``variants`` segmentations under a seed, each worked out once and then looked up
+        With ``variants`` a text's k-th run draws one of so many keys from the text's key and k instead. A run
+        then has at most ``variants`` segmentations under a seed, each worked out once and then looked up
         in ``kept``. A hash of key and run tells how many candidate merges pass before one is skipped:
         where that is more than the run has, nothing is skipped and the plain ids stand.
         """
+        if not variants:
+            return self._encode_each(texts, skip, seed, keys, Kept(SHELVES) if kept is None else kept)
         kept = Kept(variants) if kept is None else kept
         made: list[list] = []
         missing: list[tuple[list, int, str, int, bytes | None]] = []
@@ -202,7 +208,59 @@ class MergeVocabulary:
             out[k] = known or kept.late[v][run]
         return [b"".join(out) for out in made]
 
-    def encode(self, text: str, skip: float = 0.0, seed: int = 0, variants: int = 1, doc_key: int = 0) -> bytes:
+    def _encode_each(self, texts: list[str], skip: float, seed: int, keys: list[int] | None, kept: Kept) -> list[bytes]:
+        """Ids of texts whose runs draw for themselves.
+
+        What is kept holds no draws: for a run its plain ids and number of merges, and for a run and the
+        merges before its first skip the ids if no other follows, and the merges after that skip. Draws
+        that ask for more skips, and long runs, go through the agenda.
+        """
+        split = [self.split(text) for text in texts]
+        found: list[list] = []
+        unknown: dict[str, None] = {}
+        late, before = kept.late, kept.before
+        for runs in split:
+            known = [*map(late[0].get, runs)]
+            if None in known:
+                for k, one in enumerate(known):
+                    if one is None:
+                        known[k] = before[0].get(runs[k])
+                        if known[k] is None:
+                            unknown[runs[k]] = None
+                        else:
+                            kept.keep(runs[k], 0, known[k])
+            found.append(known)
+        plain = self.plain(list(unknown))
+        for run, one in plain.items():
+            kept.keep(run, 0, one)
+        gaps, steps = gap_table(skip), gap_array(skip)
+        made = []
+        for t, (runs, known) in enumerate(zip(split, found)):
+            if unknown and None in known:
+                known = [plain[run] if one is None else one for run, one in zip(runs, known)]
+            out = [ids for ids, _ in known]
+            if skip and runs:
+                bits = place_bits(len(runs), seed, keys[t] if keys else 0)
+                first = steps[bits & np.uint64(4095)]
+                places = np.flatnonzero(first < np.fromiter((n for _, n in known), np.int64, len(known)))
+                second = steps[(bits[places] >> np.uint64(12)) & np.uint64(4095)].tolist()
+                for k, a, b, drawn in zip(places.tolist(), first[places].tolist(), second, bits[places].tolist()):
+                    run = runs[k]
+                    if len(run) > SHORT:
+                        out[k] = self.encode_run(run, Skips(gaps, drawn))
+                        continue
+                    once = kept.late[1].get((run, a))
+                    if once is None:
+                        once = kept.before[1].get((run, a))
+                        if once is None:
+                            ids, merges = self.encode_counted(run, Skips.after(a))
+                            once = ids, merges - a
+                        kept.keep((run, a), 1, once)
+                    out[k] = once[0] if b >= once[1] else self.encode_run(run, Skips(gaps, drawn))
+            made.append(b"".join(out))
+        return made
+
+    def encode(self, text: str, skip: float = 0.0, seed: int = 0, variants: int = 0, doc_key: int = 0) -> bytes:
         return self.encode_many([text], skip, seed, variants, [doc_key])[0]
 
     def decode(self, ids: bytes | Iterable[int]) -> str:
@@ -230,6 +288,20 @@ def draws(n: int, doc_key: int, variants: int) -> bytes:
     return ((places >> np.uint64(40)) % np.uint64(variants)).astype(np.uint8).tobytes()
 
 
+def place_bits(n: int, seed: int, doc_key: int) -> np.ndarray:
+    """64 bits for each of ``n`` places of a text, from the seed and the text's key."""
+    key = xxhash.xxh3_64_intdigest(struct.pack("<qq", seed, doc_key if doc_key < 1 << 63 else doc_key - (1 << 64)))
+    bits = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
+    bits = (bits ^ (bits >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    bits = (bits ^ (bits >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return bits ^ (bits >> np.uint64(31))
+
+
+@lru_cache(8)
+def gap_array(skip: float) -> np.ndarray:
+    return np.array(gap_table(skip), np.int64)
+
+
 @lru_cache(8)
 def gap_table(skip: float) -> tuple[int, ...]:
     """How many candidates pass before the next is skipped, for 4,096 equally likely draws."""
@@ -241,27 +313,37 @@ def gap_table(skip: float) -> tuple[int, ...]:
 
 
 class Skips:
-    """Which candidate merges of a run are skipped, told from a hash of a key and the run."""
+    """Which candidate merges of a run are skipped, told from a hash."""
 
     def __init__(self, gaps: tuple[int, ...], bits: int):
-        self.gaps, self.bits, self.left = gaps, bits << 12, 6
+        self.gaps, self.key, self.bits, self.left, self.turn = gaps, bits, bits, 5, 0
 
     @classmethod
     def none(cls) -> Skips:
         return cls(gap_table(0.0), 0)
 
+    @classmethod
+    def after(cls, merges: int) -> Skips:
+        """One skip, after so many merges."""
+        made = cls.none()
+        made.gap = iter((merges, *[NONE] * 2)).__next__
+        return made
+
     def gap(self) -> int:
-        """The candidates that pass before the next skip: 12 bits of the hash, hashed again when they are used up."""
+        """The candidates that pass before the next skip: 12 bits of the hash, hashed again when 60 are used up."""
         if not self.left:
-            self.bits, self.left = xxhash.xxh3_64_intdigest(self.bits.to_bytes(8, "little"), 1), 6
-        else:
-            self.bits >>= 12
+            self.turn += 1
+            self.bits, self.left = xxhash.xxh3_64_intdigest(self.key.to_bytes(8, "little"), self.turn), 5
+        at = self.bits & 4095
+        self.bits >>= 12
         self.left -= 1
-        return self.gaps[self.bits & 4095]
+        return self.gaps[at]
 
 
 #: Above all pieces, above all ranks, and the longest run whose agenda is a list.
 KIND, NONE, SHORT = 1 << 20, 1 << 62, 48
+#: Where runs draw for themselves, one shelf of what is kept has plain ids and one those with a skip.
+SHELVES = 2
 
 
 class Kept:
@@ -273,12 +355,12 @@ class Kept:
 
     limit, core = 200_000, 50_000
 
-    def __init__(self, variants: int, cores: list[dict[str, bytes]] | None = None):
+    def __init__(self, variants: int, cores: list[dict] | None = None):
         self.cores = cores if cores is not None else [{} for _ in range(variants)]
         self.late = [dict(known) for known in self.cores]
-        self.before: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.before: list[dict] = [{} for _ in range(variants)]
 
-    def keep(self, run: str, v: int, known: bytes) -> None:
+    def keep(self, run, v: int, known) -> None:
         late = self.late[v]
         if len(late) >= self.limit:
             self.before[v] = late
@@ -294,29 +376,30 @@ def vocabulary(path: str) -> MergeVocabulary:
 
 
 @lru_cache(2)
-def cores_of(path: str, skip: float, seed: int, variants: int) -> list[dict[str, bytes]]:
+def cores_of(path: str, skip: float, seed: int, variants: int) -> list[dict]:
     """Stays between the tasks of a worker."""
-    return [{} for _ in range(variants)]
+    return [{} for _ in range(variants or SHELVES)]
 
 
 def encode_documents(
-    docs: DataFrame, model: str, *, skip: float = 0.1, seed: int = 17, variants: int = 4, id: str = "doc_id", text: str = "text"
+    docs: DataFrame, model: str, *, skip: float = 0.1, seed: int = 17, variants: int = 0, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Encode whole texts: (id, pieces array<int>, n_pieces, text_chars, lossless).
 
     ``model`` is a file that executors can read, such as one installed with them. ``lossless`` tells
-    that decoding the pieces gave the text back. The pieces depend on the seed, the id and the text
+    that decoding the pieces gave the text back. Each occurrence of a run draws its own skips, unless
+    ``variants`` bounds the segmentations of a run to so many. The pieces depend on the seed, the id and the text
     alone. Null and empty texts have no pieces; repeated rows get equal pieces; no rows give no rows.
     """
-    if not 1 <= variants <= 256:
-        raise ValueError("variants must be 1 to 256")
+    if not 0 <= variants <= 256:
+        raise ValueError("variants must be 1 to 256, or 0 for no bound")
 
     task: list[Kept] = []  # a copy for each task
 
     def run(batch):
         vocab = vocabulary(model)
         if not task:
-            task.append(Kept(variants, cores_of(model, skip, seed, variants)))
+            task.append(Kept(variants or SHELVES, cores_of(model, skip, seed, variants)))
         kept = task[0]
         keys, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         # In pieces, because ids take more room than the text they stand for.

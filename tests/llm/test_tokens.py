@@ -155,6 +155,43 @@ def test_what_is_kept_changes_nothing(documents, monkeypatch):
             assert [m for at in range(0, len(texts), 7) for m in vocab.encode_many(texts[at : at + 7], 0.1, 3, 4, keys[at : at + 7], kept)] == alone
 
 
+def test_each_occurrence_draws_for_itself():
+    """As often varied as candidates are skipped, for every frequent run; with a bound of 4, some never are."""
+    vocab = pieces.vocabulary(PIECES)
+    n = 4_000
+    for run in (" de", " to", " that", " international"):
+        plain, merges = vocab.plain([run])[run]
+        text = (run * n)[1:]
+        made = vocab.encode(text, 0.1, 17, doc_key=5)
+        assert vocab.decode(made) == text and made != vocab.encode(text, 0.1, 17, doc_key=6)
+        bits = pieces.place_bits(n, 17, 5).tolist()
+        alone = [vocab.encode_run(run, pieces.Skips(pieces.gap_table(0.1), b)) for b in bits]
+        assert b"".join(alone) == made
+        varied = np.mean([a != plain for a in alone])
+        drawn = np.mean([pieces.gap_table(0.1)[b & 4095] < merges for b in bits])
+        assert abs(drawn - (1 - 0.9**merges)) < 0.03 and 0.5 * drawn < varied <= drawn
+
+
+def test_what_is_kept_changes_no_draws(documents, monkeypatch):
+    vocab = pieces.vocabulary(PIECES)
+    texts = [d["text"] or "" for d in documents]
+    keys = list(range(len(texts)))
+    gaps = pieces.gap_table(0.3)
+    alone = []
+    for text, key in zip(texts, keys):
+        runs = vocab.split(text)
+        drawn = pieces.place_bits(len(runs), 3, key).tolist()
+        alone.append(b"".join(vocab.encode_run(run, pieces.Skips(gaps, b)) for run, b in zip(runs, drawn)))
+    assert all(vocab.decode(made) == text for made, text in zip(alone, texts))
+    for limit in (1, 5, 300, 200_000):
+        monkeypatch.setattr(pieces.Kept, "limit", limit)
+        monkeypatch.setattr(pieces.Kept, "core", limit // 2)
+        cores = [{}, {}]
+        for _ in range(2):
+            kept = pieces.Kept(2, cores)
+            assert [m for at in range(0, len(texts), 7) for m in vocab.encode_many(texts[at : at + 7], 0.3, 3, 0, keys[at : at + 7], kept)] == alone
+
+
 def test_encoded_documents(awkward, documents, empty):
     encoded = pieces.encode_documents(awkward, PIECES)
     assert encoded.where("NOT lossless").count() == 0
