@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagtide.catalogue.registry import table
-from tagtide.llm import lines, lm, mixing, oracles, packing, pieces, quality, simhash, substrings, tokencount, vectors
+from tagtide.llm import lines, lm, merkle, mixing, oracles, packing, pieces, quality, secrets, simhash, substrings, tokencount, vectors
 from tagtide.llm.registry import QUERIES, query
 
 __all__ = ["QUERIES"]
@@ -94,3 +94,36 @@ def op10_line_dedup(spark, sf_dir):
     """Texts without equal and near-equal later lines, shown by their numbers and digest."""
     kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query(oracles.MERKLE)
+def op13_merkle_manifest(spark, sf_dir):
+    """The manifest of all documents by language, and roots folded again from leaves where a seventh of the lengths are tampered."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    made = merkle.manifest(docs)
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    tampered = F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    bad = merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), tampered, F.col("text"))
+    folded = merkle.fold(bad, F.col("merkle.path"))
+    proof = F.sha2(F.array_join(F.transform("merkle.path", lambda s: s["sibling"]), ""), 256)
+    return made.select(
+        "doc_id", "merkle.leaf", "merkle.subroot", "merkle.root", proof.alias("proof_sha256"),
+        folded.alias("folded_root"), (folded == F.col("merkle.root")).alias("verified"),
+    )
+
+
+@query(oracles.SECRETS)
+def op11_secret_scan(spark, sf_dir):
+    """Spans of all rules in all whole texts; counts and digest of the three base rules."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans")
+    )
