@@ -183,3 +183,32 @@ SELECT d.doc_id,
 FROM docs d LEFT JOIN kept x ON x.doc_id = d.doc_id
 GROUP BY d.doc_id
 """
+
+#: Integer scores of every anchor with every row, positives and windows by ranking.
+NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+a AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS alabel, v.vec_id, v.label,
+         CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(v.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM a JOIN v ON v.vec_id <> a.vec_id AND len(v.q) = len(a.q)
+),
+pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE label = alabel)
+  WHERE r <= 5
+),
+neg AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM pos p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.alabel
+  WHERE 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
+"""

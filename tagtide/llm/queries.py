@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagtide.catalogue.registry import table
-from tagtide.llm import lines, lm, merkle, mixing, oracles, packing, pieces, quality, secrets, simhash, substrings, tokencount, vectors
+from tagtide.llm import lines, lm, merkle, mixing, negatives, oracles, packing, pieces, quality, secrets, simhash, substrings, tokencount, vectors
 from tagtide.llm.registry import QUERIES, query
 
 __all__ = ["QUERIES"]
@@ -127,3 +127,12 @@ def op11_secret_scan(spark, sf_dir):
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans")
     )
+
+
+@query(oracles.NEGATIVES)
+def op12_hard_negatives(spark, sf_dir):
+    """Three hard negatives for each of five positives of every fiftieth vector, labels of every seventh shifted."""
+    emb = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = emb.where(negatives.usable(F.col("embedding"))).select("vec_id", label.alias("label"), negatives.quantized(F.col("embedding")).alias("vector"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
