@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tagtide.llm.common import free_name
 from tagtide.operators.ordering import with_position
+from tagtide.session import durable
 
 #: Width of a digest in hex.
 WIDTH = 64
@@ -41,9 +42,12 @@ def leaf_digest(*values: Column) -> Column:
 
 
 def _parents(level: Column) -> Column:
-    """The next level of a level string: the digest of each fixed-width pair, or of a lone last node."""
-    pairs = F.sequence(F.lit(0), F.ceil(F.length(level) / (2 * WIDTH)).cast("int") - 1)
-    return F.array_join(F.transform(pairs, lambda i: F.sha2(F.substring(level, i * (2 * WIDTH) + 1, 2 * WIDTH), 256)), "")
+    """The next level of a level (bytes of hex): the digest of each fixed-width pair, or of a lone last node.
+
+    Levels are bytes, not text, so that a substring is found by its offset and not by counting characters.
+    """
+    pairs = F.sequence(F.lit(0), F.ceil(F.octet_length(level) / (2 * WIDTH)).cast("int") - 1)
+    return F.array_join(F.transform(pairs, lambda i: F.sha2(F.substring(level, i * (2 * WIDTH) + 1, 2 * WIDTH), 256)), "").cast("binary")
 
 
 def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -68,20 +72,21 @@ def _climb(nodes: DataFrame, bits: int, rounds: int) -> DataFrame:
         .transform(lambda b: _join(b, counts, ["g"]))
         # Levels this block climbs: all of its bits where the group has more blocks, else until one node is left.
         .withColumn("levels", F.when(F.col("n") > size, F.lit(bits)).when(F.col("n") > 1, F.length(F.bin(F.col("n") - 1))).otherwise(0))
-        .select("g", "b", "n", "levels", F.array_join(F.transform("nodes", lambda x: x["h"]), "").alias("lv0"))
+        .select("g", "b", "n", "levels", F.array_join(F.transform("nodes", lambda x: x["h"]), "").cast("binary").alias("lv0"))
     )
     for j in range(bits):
         blocks = blocks.withColumn(f"lv{j + 1}", F.when(F.col("levels") > j, _parents(F.col(f"lv{j}"))).otherwise(F.col(f"lv{j}")))
     steps = F.expr(
-        f"""transform(sequence(0, length(lv0) div {WIDTH} - 1), i -> struct(
+        f"""transform(sequence(0, octet_length(element_at(lvs, 1)) div {WIDTH} - 1), i -> struct(
               i,
               transform(slice(sequence(0, levels), 1, levels), j -> named_struct(
-                'sibling', CASE WHEN (shiftright(i, j) ^ 1) < length(element_at(lvs, j + 1)) div {WIDTH}
-                           THEN substring(element_at(lvs, j + 1), (shiftright(i, j) ^ 1) * {WIDTH} + 1, {WIDTH}) END,
+                'sibling', CASE WHEN (shiftright(i, j) ^ 1) < octet_length(element_at(lvs, j + 1)) div {WIDTH}
+                           THEN CAST(substring(element_at(lvs, j + 1), (shiftright(i, j) ^ 1) * {WIDTH} + 1, {WIDTH}) AS STRING) END,
                 'left', shiftright(i, j) % 2 = 0)) AS steps))"""
     )
-    blocks = blocks.withColumn("lvs", F.array(*[F.col(f"lv{j}") for j in range(bits + 1)]))
-    tops = blocks.select("g", "b", "n", F.element_at("lvs", F.col("levels") + 1).alias("top"))
+    # Written once: both the tops and the steps of the nodes read the levels.
+    blocks = durable(blocks.select("g", "b", "n", "levels", F.array(*[F.col(f"lv{j}") for j in range(bits + 1)]).alias("lvs")))
+    tops = blocks.select("g", "b", "n", F.element_at("lvs", F.col("levels") + 1).cast("string").alias("top"))
     in_block = blocks.select("g", "b", F.explode(steps).alias("node")).select(
         "g", (F.col("b") * size + F.col("node.i")).alias("pos"), "b", F.col("node.steps").alias("steps")
     )
@@ -125,6 +130,7 @@ def manifest(
     order: str = "doc_id",
     bits: int = 10,
     into: str = "merkle",
+    leaf: str | None = None,
 ) -> DataFrame:
     """``docs`` with a struct column ``into`` (a free name) of leaf, subroot, root and path.
 
@@ -135,6 +141,8 @@ def manifest(
     - A null group is a group; a group of one row has its leaf as subroot; one group gives
       root = subroot; an empty table gives no rows. Rows equal in every column are interchangeable.
       Extra columns are kept; ``into`` is renamed until it clashes with none.
+    - ``leaf`` names a column of ready leaf digests instead: then ``fields`` are not read, and a
+      caller that hashes its rows in the scan moves 64 hex digits a row instead of its texts.
     - Blocks hold ``2**bits`` leaves (64 * 2**bits hex digits), so a hot group is split into many
       blocks; the driver receives one count to know how many rounds of blocks to plan.
     """
@@ -144,7 +152,7 @@ def manifest(
         F.struct(*columns).alias("doc"),
         # The group as text that is never null, and sorts as the group does (null first, then UTF-8 bytewise).
         F.when(F.col(f"`{group}`").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(f"`{group}`").cast("string"))).alias("g"),
-        leaf_digest(*[F.col(f"`{c}`") for c in fields]).alias("h"),
+        (F.col(f"`{leaf}`") if leaf else leaf_digest(*[F.col(f"`{c}`") for c in fields])).alias("h"),
         F.col(f"`{order}`").alias("o"),
         F.xxhash64(*columns).alias("x"),
     )

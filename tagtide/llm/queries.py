@@ -98,41 +98,22 @@ def op10_line_dedup(spark, sf_dir):
 
 @query(oracles.MERKLE)
 def op13_merkle_manifest(spark, sf_dir):
-    """The manifest of all documents by language, and roots folded again from leaves where a seventh of the lengths are tampered."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
-    made = merkle.manifest(docs)
+    """The manifest of all documents by language, and roots folded again from leaves where a seventh of the lengths are tampered.
+
+    Both leaves are hashed in the scan, so only digests move through the climb.
+    """
+    docs = table(spark, sf_dir, "documents")
     hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     tampered = F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
-    bad = merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), tampered, F.col("text"))
-    folded = merkle.fold(bad, F.col("merkle.path"))
+    leaves = docs.select(
+        "doc_id", "lang",
+        merkle.leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]).alias("leaf"),
+        merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), tampered, F.col("text")).alias("bad_leaf"),
+    )
+    made = merkle.manifest(leaves, leaf="leaf")
+    folded = merkle.fold(F.col("bad_leaf"), F.col("merkle.path"))
     proof = F.sha2(F.array_join(F.transform("merkle.path", lambda s: s["sibling"]), ""), 256)
     return made.select(
         "doc_id", "merkle.leaf", "merkle.subroot", "merkle.root", proof.alias("proof_sha256"),
         folded.alias("folded_root"), (folded == F.col("merkle.root")).alias("verified"),
     )
-
-
-@query(oracles.SECRETS)
-def op11_secret_scan(spark, sf_dir):
-    """Spans of all rules in all whole texts; counts and digest of the three base rules."""
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
-
-    def joined(spans):
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
-    def count(kind):
-        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-
-    return found.select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans")
-    )
-
-
-@query(oracles.NEGATIVES)
-def op12_hard_negatives(spark, sf_dir):
-    """Three hard negatives for each of five positives of every fiftieth vector, labels of every seventh shifted."""
-    emb = table(spark, sf_dir, "embeddings")
-    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    rows = emb.where(negatives.usable(F.col("embedding"))).select("vec_id", label.alias("label"), negatives.quantized(F.col("embedding")).alias("vector"))
-    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
