@@ -71,6 +71,8 @@ def _walk(rows, ids, labels, order, bound, anchor, a_id, a_label, need, chunk):
         at += chunk
         if at < len(order) and bound[order[at]] * a_norm * (1 + SLACK) + SLACK < threshold:
             break
+        # A walk that goes on is likely to go far: longer chunks, fewer steps of Python.
+        chunk = min(2 * chunk, 1 << 14)
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
