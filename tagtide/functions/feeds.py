@@ -44,14 +44,105 @@ def snapshot_url(id_or_url: Column, root: str = ARCHIVE_ROOT, feed_url: str = JO
     return F.when(id_or_url.try_cast("bigint").isNotNull(), address).otherwise(id_or_url)
 
 
+# Fixed values of HTML: names of character entities, which XML does not know.
+# Latin-1, code points 160 to 255 in order:
+LATIN1_ENTITIES = (
+    "nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr "
+    "deg plusmn sup2 sup3 acute micro para middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest "
+    "Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml "
+    "ETH Ntilde Ograve Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN szlig "
+    "agrave aacute acirc atilde auml aring aelig ccedil egrave eacute ecirc euml igrave iacute icirc iuml "
+    "eth ntilde ograve oacute ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute thorn yuml"
+).split()
+# Punctuation and symbols that feeds use most, with their code points:
+OTHER_ENTITIES = {
+    "OElig": 338, "oelig": 339, "Scaron": 352, "scaron": 353, "Yuml": 376, "fnof": 402, "circ": 710, "tilde": 732,
+    "ensp": 8194, "emsp": 8195, "thinsp": 8201, "zwnj": 8204, "zwj": 8205, "lrm": 8206, "rlm": 8207,
+    "ndash": 8211, "mdash": 8212, "lsquo": 8216, "rsquo": 8217, "sbquo": 8218, "ldquo": 8220, "rdquo": 8221,
+    "bdquo": 8222, "dagger": 8224, "Dagger": 8225, "bull": 8226, "hellip": 8230, "permil": 8240, "prime": 8242,
+    "Prime": 8243, "lsaquo": 8249, "rsaquo": 8250, "oline": 8254, "frasl": 8260, "euro": 8364, "trade": 8482,
+    "larr": 8592, "uarr": 8593, "rarr": 8594, "darr": 8595, "harr": 8596,
+}
+assert len(LATIN1_ENTITIES) == 96
+XML_ENTITIES = ("amp", "lt", "gt", "quot", "apos")
+
+# Markup tokens, leftmost first: a comment, a CDATA section (either to its end or to the end of the
+# text), a tag, a run of text, a stray '<'.
+_TOKEN = r"(?s)<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[^<>]*>|[^<]+|<"
+_PIECE = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);|[^&]+|&"
+_OPEN = r"^<item(?:\s[^>]*)?>$"
+_CLOSE = r"^</item\s*>$"
+
+
+def _entities() -> Column:
+    numbered = {name: 160 + i for i, name in enumerate(LATIN1_ENTITIES)} | OTHER_ENTITIES
+    return F.create_map(*[F.lit(x) for name, code in numbered.items() for x in (f"&{name};", f"&#{code};")])
+
+
+def repair(text: Column) -> Column:
+    """Text that XML can read: HTML entities as character references, bare ampersands escaped.
+
+    References of XML stay; a named entity that neither XML nor :data:`LATIN1_ENTITIES` or
+    :data:`OTHER_ENTITIES` knows stays as its literal text.
+    """
+    known = _entities()
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+
+    def one(p: Column) -> Column:
+        entity = F.startswith(p, F.lit("&")) & F.endswith(p, F.lit(";"))
+        xml = p.isin(*[f"&{e};" for e in XML_ENTITIES]) | F.startswith(p, F.lit("&#"))
+        return (
+            F.when(p == "&", F.lit("&amp;"))
+            .when(entity & xml, p)
+            .when(entity, F.coalesce(F.element_at(known, p), F.concat(F.lit("&amp;"), F.substring(p, 2, 1 << 30))))
+            .otherwise(p)
+        )
+
+    return F.array_join(F.transform(pieces, one), "")
+
+
+def feed_tokens(rss: Column) -> Column:
+    """The feed as markup tokens, ready for XML: comments empty, CDATA as it is, tags and text repaired."""
+    tokens = F.regexp_extract_all(rss, F.lit(_TOKEN), F.lit(0))
+    return F.transform(
+        tokens,
+        lambda t: F.when(F.startswith(t, F.lit("<!--")), F.lit(""))
+        .when(F.startswith(t, F.lit("<![CDATA[")), t)
+        .when(t == "<", F.lit("&lt;"))
+        .otherwise(repair(t)),
+    )
+
+
+def _places(tokens: Column, pattern: str) -> Column:
+    return F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.regexp_like(F.element_at(tokens, i), F.lit(pattern)))
+
+
+def opened_items(rss: Column) -> Column:
+    """How many items the feed opens, by tags outside comments and CDATA."""
+    return F.size(_places(feed_tokens(rss), _OPEN))
+
+
 def feed_item_texts(rss: Column) -> Column:
-    """The text of each ``<item>`` of a feed, with bare ampersands escaped.
+    """The text of each ``<item>`` of a feed, ready for XML, by a scan of its markup.
 
-    Items are told apart before they are parsed, so a fault in one of them, or in the channel around
-    them, costs no other.
+    Items are cut at tags only: ``<item>`` inside a comment or a CDATA section is text, and an item
+    inside a comment is no item. HTML entities become character references and bare ampersands
+    are escaped, outside CDATA sections only. An item that is opened and not closed before the
+    next one opens is left out (``unparsed_snapshots`` lists its feed). Items are told apart before
+    they are parsed, so a fault in one of them, or in the channel around them, costs no other.
     """
-    repaired = F.regexp_replace(rss, r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
-    return F.regexp_extract_all(repaired, F.lit(r"(?s)<item(?:\s[^>]*)?>(?:(?!<item[\s>]).)*?</item\s*>"), F.lit(0))
+    tokens = feed_tokens(rss)
+    opens, closes = _places(tokens, _OPEN), _places(tokens, _CLOSE)
+    spans = F.transform(
+        opens,
+        lambda o: F.struct(
+            o.alias("o"),
+            F.array_min(F.filter(closes, lambda c: c > o)).alias("c"),
+            F.coalesce(F.array_min(F.filter(opens, lambda x: x > o)), F.lit(1 << 30)).alias("n"),
+        ),
+    )
+    whole = F.filter(spans, lambda s: s["c"].isNotNull() & (s["c"] < s["n"]))
+    return F.transform(whole, lambda s: F.array_join(F.slice(tokens, s["o"], s["c"] - s["o"] + 1), ""))
 
 
 def ad_key(title: Column, published: Column, updated: Column | None = None) -> Column:

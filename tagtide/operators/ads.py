@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagtide import schemas
-from tagtide.functions.feeds import ad_key, feed_item_texts, snapshot_id, snapshot_links
+from tagtide.functions.feeds import ad_key, feed_item_texts, opened_items, snapshot_id, snapshot_links
 
 _BROKEN = "_broken"
 _ITEM = T.StructType([*schemas.FEED_ITEM.fields, T.StructField(_BROKEN, T.StringType())])
@@ -26,9 +26,11 @@ def linked_snapshots(links: DataFrame, path_part: str = "/web/", until: str = "/
 
 
 def _parsed_items(snapshots: DataFrame) -> DataFrame:
-    blocks = snapshots.select("snapshot_id", F.posexplode(feed_item_texts(F.col("rss"))).alias("item_pos", "text"))
-    item = F.from_xml("text", _ITEM, {"ignoreNamespace": "true", "columnNameOfCorruptRecord": _BROKEN})
-    return blocks.select("snapshot_id", "item_pos", "text", item.alias("item"))
+    """Items parsed inside the generator that makes their rows, so a later filter cannot make XML parse twice."""
+    texts = feed_item_texts(F.col("rss"))
+    options = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": _BROKEN}
+    parsed = F.transform(texts, lambda t: F.struct(t.alias("text"), F.from_xml(t, _ITEM, options).alias("item")))
+    return snapshots.select("snapshot_id", F.posexplode(parsed).alias("item_pos", "parsed")).select("snapshot_id", "item_pos", "parsed.text", "parsed.item")
 
 
 def broken_items(snapshots: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def broken_items(snapshots: DataFrame) -> DataFrame:
 
 def unparsed_snapshots(snapshots: DataFrame) -> DataFrame:
     """Snapshots in which an item is opened and not closed, or whose text is no feed."""
-    opened = F.regexp_count("rss", F.lit(r"<item[\s>]"))
+    opened = opened_items(F.col("rss"))
     whole = F.size(feed_item_texts(F.col("rss")))
     feed = F.contains("rss", F.lit("<rss")) & F.contains("rss", F.lit("<channel"))
     return snapshots.filter(F.col("rss").isNull() | ~feed | (opened > whole)).select("snapshot_id")

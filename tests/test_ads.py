@@ -80,3 +80,24 @@ def test_pages_choose_snapshots(spark):
     assert [s for s, _ in got] == ["20160101", "20160102"]
     assert got[0][1] == "https://web.archive.org//web/20160101/http://stackoverflow.com/jobs/feed"
     assert listed_snapshots(pages, snapshots(spark)).count() == 2
+
+
+def test_markup_is_scanned_not_searched(spark):
+    """CDATA stays as written, item tags inside CDATA or comments are text, HTML entities are characters."""
+    feeds = [
+        ("1", rss("<item><title><![CDATA[R&D lead]]></title><pubDate>d1</pubDate></item>")),
+        ("2", rss("<item><title>t2</title><pubDate>d2</pubDate><description><![CDATA[see <item> and </item> here]]></description></item>"
+                  "<!-- <item><title>ghost</title><pubDate>g</pubDate></item> -->")),
+        ("3", rss("<item><title>a&nbsp;b &eacute; &bogus; & c &amp; &#233;</title><pubDate>d3</pubDate></item>")),
+        ("4", rss("<item><title><![CDATA[R&D <b>lead</b>]]>&nbsp;42</title><pubDate>d4</pubDate></item><item><title>unclosed")),
+    ]
+    df = spark.createDataFrame(feeds, "snapshot_id string, rss string")
+    got = rows(feed_items(df).select("snapshot_id", "item_pos", "title", "published", "summary"))
+    assert got == [
+        ("1", 0, "R&D lead", "d1", None),
+        ("2", 0, "t2", "d2", "see <item> and </item> here"),
+        ("3", 0, "a\xa0b é &bogus; & c & é", "d3", None),
+        ("4", 0, "R&D <b>lead</b>\xa042", "d4", None),
+    ]
+    assert rows(broken_items(df)) == []
+    assert rows(unparsed_snapshots(df)) == [("4",)]
