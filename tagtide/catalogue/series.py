@@ -273,3 +273,37 @@ def trend_date_forms(spark, sf_dir):
     )
     merged = merge_trends([export])
     return merged.select("tag", F.col("week").cast("string").alias("week"), "value")
+
+
+_SUNDAY_WEEKS_SQL = """
+WITH bounds AS (
+  SELECT CAST(min(o_orderdate) AS DATE) AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders
+),
+sundays AS (
+  SELECT CAST(unnest(generate_series(CAST(lo - CAST(dayofweek(lo) AS INTEGER) AS TIMESTAMP),
+                                     CAST(hi - CAST(dayofweek(hi) AS INTEGER) AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS week
+  FROM bounds
+),
+weeks AS (
+  SELECT week FROM (SELECT week, row_number() OVER (ORDER BY week) AS i FROM sundays) WHERE i <> 3
+),
+dated AS (SELECT o_orderpriority AS tag, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT tag, CAST((SELECT min(week) FROM weeks WHERE week >= day) AS VARCHAR) AS week, count(*) AS n
+FROM dated GROUP BY ALL
+"""
+
+
+@query(_SUNDAY_WEEKS_SQL)
+def orders_by_sunday_weeks(spark, sf_dir):
+    """Orders of each priority counted by a calendar of Sundays with its third week missing, as a search-interest export is.
+
+    Each order goes to the first listed Sunday on or after its day; orders after the last Sunday have a null week.
+    """
+    from tagtide.operators.asof import first_mark_at_or_after
+
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("tag"), F.to_date("o_orderdate").alias("day"))
+    sunday = lambda d: F.date_sub(d, F.dayofweek(d) - 1)
+    span = orders.agg(sunday(F.min("day")).alias("lo"), sunday(F.max("day")).alias("hi"))
+    calendar = span.select(F.posexplode(F.sequence("lo", "hi", F.expr("INTERVAL 7 DAYS"))).alias("i", "week")).where(F.col("i") != 2)
+    weeks = first_mark_at_or_after(orders, "day", calendar, "week", into="week")
+    return weeks.groupBy("tag", F.col("week").cast("string").alias("week")).agg(F.count(F.lit(1)).alias("n"))
