@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagtide.constants import ARCHIVE_ROOT, JOB_FEED_URL
+from tagtide.functions.binding import bind
 
 _NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 _ANCHOR = r"(?i)<a\s[^>]*>"
@@ -98,7 +99,7 @@ def repair(text: Column) -> Column:
             .otherwise(p)
         )
 
-    return F.array_join(F.transform(pieces, one), "")
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
 
 
 def feed_tokens(rss: Column) -> Column:
@@ -113,13 +114,23 @@ def feed_tokens(rss: Column) -> Column:
     )
 
 
-def _places(tokens: Column, pattern: str) -> Column:
-    return F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.regexp_like(F.element_at(tokens, i), F.lit(pattern)))
+def _item_marks(tokens: Column) -> Column:
+    """``(at, opens)`` of the tags that open or close an item, in order, by one pass over the tokens."""
+    opens = lambda t: F.when(F.regexp_like(t, F.lit(_OPEN)), F.lit(True)).when(F.regexp_like(t, F.lit(_CLOSE)), F.lit(False))
+    marks = F.transform(tokens, lambda t, i: F.struct((i + 1).alias("at"), opens(t).alias("opens")))
+    return F.filter(marks, lambda m: m["opens"].isNotNull())
 
 
-def opened_items(rss: Column) -> Column:
-    """How many items the feed opens, by tags outside comments and CDATA."""
-    return F.size(_places(feed_tokens(rss), _OPEN))
+def _item_spans(marks: Column) -> Column:
+    """``(at, end)`` of the items that close before the next one opens: the mark behind the opening one closes."""
+    pairs = F.transform(marks, lambda m, k: F.struct(m.alias("mark"), F.get(marks, k + 1).alias("behind")))
+    whole = F.filter(pairs, lambda p: p["mark"]["opens"] & ~p["behind"]["opens"])
+    return F.transform(whole, lambda p: F.struct(p["mark"]["at"].alias("at"), p["behind"]["at"].alias("end")))
+
+
+def unclosed_items(rss: Column) -> Column:
+    """How many items the feed opens and does not close, by tags outside comments and CDATA."""
+    return bind(_item_marks(feed_tokens(rss)), lambda marks: F.size(F.filter(marks, lambda m: m["opens"])) - F.size(_item_spans(marks)))
 
 
 def feed_item_texts(rss: Column) -> Column:
@@ -130,19 +141,14 @@ def feed_item_texts(rss: Column) -> Column:
     are escaped, outside CDATA sections only. An item that is opened and not closed before the
     next one opens is left out (``unparsed_snapshots`` lists its feed). Items are told apart before
     they are parsed, so a fault in one of them, or in the channel around them, costs no other.
+    The scan runs once per feed, and its work grows with the feed's length.
     """
-    tokens = feed_tokens(rss)
-    opens, closes = _places(tokens, _OPEN), _places(tokens, _CLOSE)
-    spans = F.transform(
-        opens,
-        lambda o: F.struct(
-            o.alias("o"),
-            F.array_min(F.filter(closes, lambda c: c > o)).alias("c"),
-            F.coalesce(F.array_min(F.filter(opens, lambda x: x > o)), F.lit(1 << 30)).alias("n"),
-        ),
-    )
-    whole = F.filter(spans, lambda s: s["c"].isNotNull() & (s["c"] < s["n"]))
-    return F.transform(whole, lambda s: F.array_join(F.slice(tokens, s["o"], s["c"] - s["o"] + 1), ""))
+
+    def texts(tokens: Column) -> Column:
+        cut = lambda s: F.array_join(F.slice(tokens, s["at"], s["end"] - s["at"] + 1), "")
+        return bind(_item_marks(tokens), lambda marks: F.transform(_item_spans(marks), cut))
+
+    return F.coalesce(bind(feed_tokens(rss), texts), F.array().cast("array<string>"))
 
 
 def ad_key(title: Column, published: Column, updated: Column | None = None) -> Column:

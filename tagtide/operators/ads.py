@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagtide import schemas
-from tagtide.functions.feeds import ad_key, feed_item_texts, opened_items, snapshot_id, snapshot_links
+from tagtide.functions.feeds import ad_key, feed_item_texts, snapshot_id, snapshot_links, unclosed_items
 
 _BROKEN = "_broken"
 _ITEM = T.StructType([*schemas.FEED_ITEM.fields, T.StructField(_BROKEN, T.StringType())])
@@ -40,10 +40,8 @@ def broken_items(snapshots: DataFrame) -> DataFrame:
 
 def unparsed_snapshots(snapshots: DataFrame) -> DataFrame:
     """Snapshots in which an item is opened and not closed, or whose text is no feed."""
-    opened = opened_items(F.col("rss"))
-    whole = F.size(feed_item_texts(F.col("rss")))
     feed = F.contains("rss", F.lit("<rss")) & F.contains("rss", F.lit("<channel"))
-    return snapshots.filter(F.col("rss").isNull() | ~feed | (opened > whole)).select("snapshot_id")
+    return snapshots.filter(F.col("rss").isNull() | ~feed | (unclosed_items(F.col("rss")) > 0)).select("snapshot_id")
 
 
 def feed_items(snapshots: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from conftest import rows
 from tagtide.operators.ads import broken_items, feed_items, keyed_ads, unkeyed_ads, unparsed_snapshots
 from tagtide.plans.ads import ads_from_snapshots, listed_snapshots, snapshots_to_fetch
@@ -101,3 +103,23 @@ def test_markup_is_scanned_not_searched(spark):
     ]
     assert rows(broken_items(df)) == []
     assert rows(unparsed_snapshots(df)) == [("4",)]
+
+
+def test_a_feed_is_scanned_once_and_cut_like_a_walk_over_its_tags(spark):
+    """Opening and closing tags in any order, in feeds of many items; the tokens appear once in the plan."""
+    rnd = random.Random(3)
+    feeds, whole, unclosed = [], [], []
+    for k in range(30):
+        tags = rnd.choices(["<item>", "</item>"], [3, 3 - k % 3], k=10 * k)
+        feeds.append((f"{k:02d}", rss(*(f"{t}<title>{i}</title>" if t == "<item>" else t for i, t in enumerate(tags)))))
+        places = [i for i, t in enumerate(tags) if t == "<item>" and tags[i + 1 : i + 2] == ["</item>"]]
+        whole += [(f"{k:02d}", at, str(i)) for at, i in enumerate(places)]
+        unclosed += [(f"{k:02d}",)] if len(places) < tags.count("<item>") else []
+    feeds.append(("many", rss(*(item(f"t{i}", "p") for i in range(2_000)))))
+    df = spark.createDataFrame(feeds, "snapshot_id string, rss string")
+    found, cut = feed_items(df).select("snapshot_id", "item_pos", "title"), unparsed_snapshots(df)
+    for plan in (found, cut):
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(rss") == 1
+    assert rows(found) == whole + [("many", i, f"t{i}") for i in range(2_000)]
+    assert rows(cut) == unclosed
+    assert rows(feed_items(spark.createDataFrame([("a", ""), ("b", None)], "snapshot_id string, rss string"))) == []
