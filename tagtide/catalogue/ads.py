@@ -159,8 +159,8 @@ def _marked_up_snapshots(spark, sf_dir):
     hold item tags as text; and after each item a commented-out item."""
     made = _snapshots(spark, sf_dir)
     rss = F.regexp_replace("rss", r"<title>Job &amp; user ([0-9]+)</title>", "<title><![CDATA[R&D <b>lead</b>]]>&nbsp;$1</title>")
-    rss = F.regexp_replace(rss, "<description>", "<description><![CDATA[see <item>x</item> & ]]>")
     rss = F.regexp_replace(rss, "</item>", "</item><!-- <item><title>ghost</title><pubDate>never</pubDate></item> -->")
+    rss = F.regexp_replace(rss, "<description>", "<description><![CDATA[<item>x</item> & ]]>")
     return made.withColumn("rss", rss)
 
 
