@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tagtide.catalogue.registry import Query, table
-from tagtide.llm import lines, mixing, pieces, quality, similar
+from tagtide.llm import lines, mixing, pieces, quality, simhash, similar
 from tagtide.llm.queries import PIECES
 from tagtide.session import durable
 
@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays, of near copies by word shingles: 2 differing bits would pass most of them."""
-    return similar.one_of_similar(docs)
+    """One row of each SimHash group stays; of those, one of each group of near copies by word shingles, which 2 bits pass."""
+    return similar.one_of_similar(simhash.one_of_each_group(docs, nulls=True))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

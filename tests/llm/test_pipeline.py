@@ -53,3 +53,24 @@ def test_queries_run_on_whole_tables(spark, name):
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
 def test_queries_equal_their_sql(spark, name):
     assert oracle.difference(QUERIES[name].run(spark, SF_DIR), QUERIES[name].sql, oracle.connect(SF_DIR)) is None
+
+
+def test_near_dedup_is_by_simhash_and_then_by_shingles(spark):
+    """Fingerprints within 2 bits fall although few shingles are shared, and near copies although their bits differ."""
+    base = [f"w{i}" for i in range(60)]
+    changed = [w if i % 30 else f"{w}x" for i, w in enumerate(base)]
+    rows = [(0, " ".join(base)), (1, " ".join(changed)), (2, "one two three four"), (3, "one  two three four five"), (4, "alone"), (None, "alone")]
+    prints = [simhash.fingerprint(t.encode()) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() > 2
+    words = {}
+    for i in range(20_000):  # two texts of other words whose fingerprints are within 2 bits
+        text = f"a{i % 200} b{i // 200}"
+        near = [words[k] for k in {simhash.fingerprint(text.encode()) ^ (1 << b) for b in range(64)} if k in words]
+        words[simhash.fingerprint(text.encode())] = text
+        if near:
+            rows += [(10, near[0]), (11, text)]
+            break
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
+    joined = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.where("doc_id IS NOT NULL")).collect()}
+    assert 1 not in kept and kept <= {k for k, c in joined.items() if k == c}
