@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagtide.functions.text import ngram_bag, strip_html
+from tagtide.functions.text import placed_grams, strip_html
 from tagtide.operators.joins import small_side
 
 
@@ -28,9 +28,7 @@ def entity_ngrams(
 
     n-grams above ``longest`` keep their places and are left out.
     """
-    bag = ngram_bag(strip_html(F.col(field)), n, closed_words, longest)
-    grams = entities.select(entity, F.posexplode(bag).alias("pos", "ngram"))
-    return grams if longest is None else grams.filter(F.col("ngram").isNotNull())
+    return entities.select(entity, F.inline(placed_grams(strip_html(F.col(field)), n, closed_words, longest)))
 
 
 def match_tags(ngrams: DataFrame, variants: DataFrame, entity: str = "entity_id") -> DataFrame:
@@ -69,7 +67,10 @@ def collect_tags(entities: DataFrame, matches: DataFrame, into: str, entity: str
 
 
 def stem_tokens(tokens: DataFrame, stems: DataFrame) -> DataFrame:
-    """Replace ``token`` by its stem where ``stems(token, stem)`` has one; one row per token."""
-    table = stems.select("token", "stem")
+    """Replace ``token`` by its stem where ``stems(token, stem)`` has one; one row per token.
+
+    A small stored table of stems goes to all tasks, so that frequent tokens stay where they are.
+    """
+    table = small_side(stems.select("token", "stem"))
     stemmed = F.coalesce("stem", "token").alias("token")
     return tokens.join(table, "token", "left").select(*[stemmed if c == "token" else c for c in tokens.columns])

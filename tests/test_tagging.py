@@ -3,12 +3,15 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
+from tagtide.functions.text import ngram_bag, strip_html
 from tagtide.operators import dictionary as D
 from tagtide.operators import joins as J
 from tagtide.operators import tagging as T
 from tagtide.plans.tagging import build_tag_dictionary, tag_entities, tag_mentions
+from tagtide.session import durable
 
 
 @pytest.fixture(scope="module")
@@ -138,3 +141,24 @@ def test_stem_tokens(spark):
     tokens = spark.createDataFrame([(1, "running"), (1, "fast")], "id int, token string")
     stems = spark.createDataFrame([("running", "run")], "token string, stem string")
     assert rows(T.stem_tokens(tokens, stems)) == [(1, "fast"), (1, "run")]
+
+
+def test_left_out_sizes_make_no_rows_and_plain_lines_are_not_searched(spark):
+    """Places equal those of the whole bag; the rows of sizes above the longest variant are not made at all."""
+    data = [(i, t) for i, t in enumerate(["a b c d e", "a", "", None, "x < y\n<p> a > b <i>c</i> >\nq > r < s", "the a the", "<<a b>>"])]
+    df = spark.createDataFrame(data, "entity_id int, summary string")
+    whole = df.select("entity_id", F.posexplode(ngram_bag(strip_html(F.col("summary")), 4)).alias("pos", "ngram"))
+    for longest in (None, 1, 2, 3, 4, 7):
+        found = T.entity_ngrams(df, longest=longest)
+        kept = whole if longest is None else whole.filter(F.size(F.split("ngram", " ")) <= longest)
+        assert rows(found) == rows(kept)
+        assert "array_repeat" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r[0] for r in df.orderBy("entity_id").select(strip_html(F.col("summary"))).collect()][4] == "x < y\n  a > b  c  >\nq > r < s"
+
+
+def test_stored_stems_are_broadcast(spark):
+    tokens = spark.range(100).select(F.concat(F.lit("h"), F.when(F.col("id") >= 0, "ot")).alias("token"))
+    stems = durable(spark.createDataFrame([("hot", "h"), ("hot", "o")], "token string, stem string"))
+    stemmed = T.stem_tokens(tokens, stems)
+    assert "BroadcastHashJoin" in stemmed._jdf.queryExecution().executedPlan().toString()
+    assert rows(stemmed.groupBy("token").count()) == [("h", 100), ("o", 100)]
