@@ -29,6 +29,9 @@ WIDTH = 64
 #: Steps of a proof: the sibling's digest (null where the node stood alone) and whether the node was on the left.
 STEP = "array<struct<sibling:string,left:boolean>>"
 
+#: The same while paths travel: 32 bytes a digest, half of its hex digits, since paths are most of what is shuffled.
+PACKED_STEP = "array<struct<sibling:binary,left:boolean>>"
+
 
 def field(value: Column) -> Column:
     """``-`` for null, else the UTF-8 byte count of the value's text, ``:``, and the text (integers in decimal)."""
@@ -60,7 +63,7 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inne
 def _climb(nodes: DataFrame, bits: int, rounds: int) -> DataFrame:
     """Climb ``nodes`` (g, pos from 0, h) to the top of each group: (g, pos, top, path) for every node.
 
-    A group of n nodes climbs ceil(log2 n) levels; ``rounds`` is how often its nodes are cut into
+    Paths are packed (:data:`PACKED_STEP`). A group of n nodes climbs ceil(log2 n) levels; ``rounds`` is how often its nodes are cut into
     aligned blocks of ``2**bits`` before one block is left (one more than the largest group needs is harmless).
     """
     size = 1 << bits
@@ -81,7 +84,7 @@ def _climb(nodes: DataFrame, bits: int, rounds: int) -> DataFrame:
               i,
               transform(slice(sequence(0, levels), 1, levels), j -> named_struct(
                 'sibling', CASE WHEN (shiftright(i, j) ^ 1) < octet_length(element_at(lvs, j + 1)) div {WIDTH}
-                           THEN CAST(substring(element_at(lvs, j + 1), (shiftright(i, j) ^ 1) * {WIDTH} + 1, {WIDTH}) AS STRING) END,
+                           THEN unhex(CAST(substring(element_at(lvs, j + 1), (shiftright(i, j) ^ 1) * {WIDTH} + 1, {WIDTH}) AS STRING)) END,
                 'left', shiftright(i, j) % 2 = 0)) AS steps))"""
     )
     # Written once: both the tops and the steps of the nodes read the levels.
@@ -91,14 +94,14 @@ def _climb(nodes: DataFrame, bits: int, rounds: int) -> DataFrame:
         "g", (F.col("b") * size + F.col("node.i")).alias("pos"), "b", F.col("node.steps").alias("steps")
     )
     if rounds <= 1:
-        upper = tops.select("g", "b", "top", F.lit(None).cast(STEP).alias("path"))
+        upper = tops.select("g", "b", "top", F.lit(None).cast(PACKED_STEP).alias("path"))
     else:
         above = _climb(tops.where(F.col("n") > size).select("g", F.col("b").alias("pos"), F.col("top").alias("h")), bits, rounds - 1)
         upper = _join(tops, above.withColumnRenamed("pos", "b").withColumnRenamed("top", "over"), ["g", "b"], "left").select(
             "g", "b", F.coalesce("over", "top").alias("top"), "path"
         )
     return _join(in_block, upper, ["g", "b"]).select(
-        "g", "pos", "top", F.concat("steps", F.coalesce("path", F.array().cast(STEP))).alias("path")
+        "g", "pos", "top", F.concat("steps", F.coalesce("path", F.array().cast(PACKED_STEP))).alias("path")
     )
 
 
@@ -112,6 +115,11 @@ def _rounds(nodes: DataFrame, bits: int) -> int:
     return rounds
 
 
+def _shown(path: Column) -> Column:
+    """A packed path with its digests in hex (:data:`STEP`)."""
+    return F.transform(path, lambda s: F.struct(F.lower(F.hex(s["sibling"])).alias("sibling"), s["left"].alias("left")))
+
+
 def fold(leaf: Column, path: Column) -> Column:
     """The root that ``leaf`` gives when climbed with the siblings of ``path``."""
     return F.aggregate(
@@ -167,5 +175,5 @@ def manifest(
     )
     climbed = _join(placed, inner.select("g", "pos", F.col("path").alias("lower")), ["g", "pos"])
     climbed = climbed.join(per_group, climbed["g"] == per_group["key"])
-    result = F.struct(F.col("h").alias("leaf"), "subroot", "root", F.concat("lower", "upper").alias("path"))
+    result = F.struct(F.col("h").alias("leaf"), "subroot", "root", _shown(F.concat("lower", "upper")).alias("path"))
     return climbed.select("doc.*", result.alias(out))

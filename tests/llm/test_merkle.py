@@ -109,3 +109,14 @@ def test_every_tampered_leaf_fails_and_others_verify(awkward, documents):
     for doc_id, lf, _, root, _, folded, verified in got:
         assert verified == (folded == root)
     assert any(not r[-1] for r in got) and any(r[-1] for r in got)
+
+
+def test_paths_travel_as_bytes_and_are_shown_in_hex(spark):
+    nodes = spark.range(5).selectExpr("'1en' AS g", "id AS pos", "sha2(cast(id AS string), 256) AS h")
+    climbed = merkle._climb(nodes, 2, 2)
+    assert climbed.schema["path"].dataType.simpleString() == merkle.PACKED_STEP
+    docs = nodes.selectExpr("pos AS doc_id", "'en' AS lang", "h AS leaf")
+    made = merkle.manifest(docs, leaf="leaf", bits=2)
+    assert made.schema["merkle"].dataType["path"].dataType.simpleString() == merkle.STEP
+    for r in made.collect():
+        assert all(s.sibling is None or (len(s.sibling) == 64 and s.sibling == s.sibling.lower()) for s in r.merkle.path)
