@@ -6,16 +6,19 @@ import heapq
 import math
 import re
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.llm.common import map_batches, utf8
+from tagtide.llm.merging import KIND, NONE, SHORT, Draws, Merges, ranges
 
 SPACE = "▁"
 
@@ -61,10 +64,22 @@ class MergeVocabulary:
                 left, right = ids.get(piece[:cut]), ids.get(piece[cut:])
                 if left is not None and right is not None:
                     self.merges[left * KIND + right] = rank[model.get_score(i)] * KIND + i
+        #: The same for arrays: merges, characters by code point, and what pieces spell.
+        self.table = Merges(self.merges)
+        self.points = -1 - np.arange(0x110000, dtype=np.int32)
+        for character, i in self.single.items():
+            self.points[ord(character)] = i
+        self.spelled = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.spelled_size = np.fromiter(map(len, self.bytes_of), np.int64, size)
+        self.spelled_at = np.cumsum(self.spelled_size) - self.spelled_size
 
     def split(self, text: str) -> list[str]:
         """Runs of a text with a space put before it."""
-        return re.findall(r" *[^ ]+| +", " " + text) if text else []
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return re.findall(r" *[^ ]+| +", " " + text)
+        return [" " + word for word in text.split(" ")]
 
     def encode_run(self, run: str, skips: Skips | None = None) -> bytes:
         return self.encode_counted(run, skips)[0]
@@ -175,7 +190,8 @@ class MergeVocabulary:
         where that is more than the run has, nothing is skipped and the plain ids stand.
         """
         if not variants:
-            return self._encode_each(texts, skip, seed, keys, Kept(SHELVES) if kept is None else kept)
+            ids, ends = self.encode_each(texts, skip, seed, keys)
+            return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
         kept = Kept(variants) if kept is None else kept
         made: list[list] = []
         missing: list[tuple[list, int, str, int, bytes | None]] = []
@@ -208,57 +224,75 @@ class MergeVocabulary:
             out[k] = known or kept.late[v][run]
         return [b"".join(out) for out in made]
 
-    def _encode_each(self, texts: list[str], skip: float, seed: int, keys: list[int] | None, kept: Kept) -> list[bytes]:
-        """Ids of texts whose runs draw for themselves.
-
-        What is kept holds no draws: for a run its plain ids and number of merges, and for a run and the
-        merges before its first skip the ids if no other follows, and the merges after that skip. Draws
-        that ask for more skips, and long runs, go through the agenda.
-        """
+    def encode_each(self, texts: list[str], skip: float = 0.0, seed: int = 0, keys: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose runs draw for themselves, one text after the other, and the bounds of the texts in them."""
         split = [self.split(text) for text in texts]
-        found: list[list] = []
-        unknown: dict[str, None] = {}
-        late, before = kept.late, kept.before
-        for runs in split:
-            known = [*map(late[0].get, runs)]
-            if None in known:
-                for k, one in enumerate(known):
-                    if one is None:
-                        known[k] = before[0].get(runs[k])
-                        if known[k] is None:
-                            unknown[runs[k]] = None
-                        else:
-                            kept.keep(runs[k], 0, known[k])
-            found.append(known)
-        plain = self.plain(list(unknown))
-        for run, one in plain.items():
-            kept.keep(run, 0, one)
+        runs = [run for part in split for run in part]
+        bits = [place_bits(len(part), seed, key) for part, key in zip(split, keys or [0] * len(texts))] if skip else []
+        drawn = np.concatenate([np.zeros(0, np.uint64), *bits])
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for at in range(0, len(runs), PART):
+            some, lengths = self._encode_runs(runs[at : at + PART], skip, drawn[at : at + PART])
+            ids.append(some)
+            sizes.append(lengths)
+        bounds = np.cumsum([0, *map(len, split)])
+        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))[bounds]
+
+    def _encode_runs(self, runs: list[str], skip: float, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs, one run after the other, and how many each has.
+
+        Distinct runs are merged once without a skip. Where a run's first skip comes before its last merge, its
+        occurrence is merged anew with its own draws. Long runs go through the agenda one by one.
+        """
+        distinct = list(dict.fromkeys(runs))
+        number = dict(zip(distinct, range(len(distinct))))
+        codes = np.fromiter(map(number.__getitem__, runs), np.int64, len(runs))
+        lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        starts = np.cumsum(lengths) - lengths
+        symbols = self.points[np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), "<u4")]
+        long = np.flatnonzero(lengths > SHORT)
+        made, at, size = self.table.merge(symbols, starts, lengths)
+        merges = lengths - size
+        plain = self.plain([distinct[k] for k in long.tolist()])
+        merges[long] = [plain[distinct[k]][1] for k in long.tolist()]
+        made, at, size = self._spell(made, at, size, {k: plain[distinct[k]][0] for k in long.tolist()})
+        if not skip:
+            return made[ranges(at[codes], size[codes])], size[codes]
         gaps, steps = gap_table(skip), gap_array(skip)
-        made = []
-        for t, (runs, known) in enumerate(zip(split, found)):
-            if unknown and None in known:
-                known = [plain[run] if one is None else one for run, one in zip(runs, known)]
-            out = [ids for ids, _ in known]
-            if skip and runs:
-                bits = place_bits(len(runs), seed, keys[t] if keys else 0)
-                first = steps[bits & np.uint64(4095)]
-                places = np.flatnonzero(first < np.fromiter((n for _, n in known), np.int64, len(known)))
-                second = steps[(bits[places] >> np.uint64(12)) & np.uint64(4095)].tolist()
-                for k, a, b, drawn in zip(places.tolist(), first[places].tolist(), second, bits[places].tolist()):
-                    run = runs[k]
-                    if len(run) > SHORT:
-                        out[k] = self.encode_run(run, Skips(gaps, drawn))
-                        continue
-                    once = kept.late[1].get((run, a))
-                    if once is None:
-                        once = kept.before[1].get((run, a))
-                        if once is None:
-                            ids, merges = self.encode_counted(run, Skips.after(a))
-                            once = ids, merges - a
-                        kept.keep((run, a), 1, once)
-                    out[k] = once[0] if b >= once[1] else self.encode_run(run, Skips(gaps, drawn))
-            made.append(b"".join(out))
-        return made
+        hit = np.flatnonzero(steps[bits & np.uint64(4095)] < merges[codes])
+        own = codes[hit]
+        varied, varied_at, varied_size = self.table.merge(symbols, starts[own], lengths[own], Draws(steps, bits[hit]))
+        alone = {k: self.encode_run(distinct[own[k]], Skips(gaps, int(bits[hit[k]]))) for k in np.flatnonzero(lengths[own] > SHORT).tolist()}
+        varied, varied_at, varied_size = self._spell(varied, varied_at, varied_size, alone)
+        where, sizes = at[codes], size[codes]
+        where[hit], sizes[hit] = varied_at + len(made), varied_size
+        return np.concatenate([made, varied])[ranges(where, sizes)], sizes
+
+    def _spell(self, made: np.ndarray, at: np.ndarray, size: np.ndarray, others: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of runs with characters that have no piece spelled in bytes, and ``others``, by run, put behind them."""
+        bare = np.flatnonzero(made < 0)
+        if len(bare):
+            points = (-1 - made[bare]).tolist()
+            ids = np.array(self.byte_ids, np.int32)[np.frombuffer("".join(map(chr, points)).encode("utf-8", "surrogatepass"), np.uint8)]
+            widths = np.ones(len(made), np.int64)
+            widths[bare] = [1 + (p > 0x7F) + (p > 0x7FF) + (p > 0xFFFF) for p in points]
+            ends = np.concatenate([[0], np.cumsum(widths)])
+            made = np.repeat(made, widths)
+            made[ranges(ends[bare], widths[bare])] = ids
+            at, size = ends[at], ends[at + size] - ends[at]
+        if others:
+            more = [np.frombuffer(ids, "<i4") for ids in others.values()]
+            which, sizes = list(others), np.fromiter(map(len, more), np.int64, len(more))
+            at[which], size[which] = len(made) + np.cumsum(sizes) - sizes, sizes
+            made = np.concatenate([made, *more])
+        return made, at, size
+
+    def decode_each(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The UTF-8 of texts, from what :meth:`encode_each` gives."""
+        parts = [self.spelled[ranges(self.spelled_at[some], self.spelled_size[some])] for some in (ids[at : at + PART] for at in range(0, len(ids), PART))]
+        raw = np.concatenate([np.zeros(0, np.uint8), *parts])
+        bounds = np.concatenate([[0], np.cumsum(self.spelled_size[ids])])[ends].tolist()
+        return [raw[a + 1 : b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
 
     def encode(self, text: str, skip: float = 0.0, seed: int = 0, variants: int = 0, doc_key: int = 0) -> bytes:
         return self.encode_many([text], skip, seed, variants, [doc_key])[0]
@@ -340,10 +374,10 @@ class Skips:
         return self.gaps[at]
 
 
-#: Above all pieces, above all ranks, and the longest run whose agenda is a list.
-KIND, NONE, SHORT = 1 << 20, 1 << 62, 48
-#: Where runs draw for themselves, one shelf of what is kept has plain ids and one those with a skip.
-SHELVES = 2
+#: So many runs, and pieces, are worked on at once.
+PART = 1 << 17
+#: Texts are taken together up to so many characters.
+CHARS = 1 << 20
 
 
 class Kept:
@@ -378,7 +412,17 @@ def vocabulary(path: str) -> MergeVocabulary:
 @lru_cache(2)
 def cores_of(path: str, skip: float, seed: int, variants: int) -> list[dict]:
     """Stays between the tasks of a worker."""
-    return [{} for _ in range(variants or SHELVES)]
+    return [{} for _ in range(variants)]
+
+
+def parts_by_size(raws: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive parts of so many bytes, or of one larger text."""
+    ends = np.cumsum(pa.compute.binary_length(raws).to_numpy(zero_copy_only=False)).tolist()
+    at = done = 0
+    for to, end in enumerate(ends, 1):
+        if to == len(ends) or ends[to] - done > size:
+            yield at, to
+            at, done = to, end
 
 
 def encode_documents(
@@ -398,22 +442,24 @@ def encode_documents(
 
     def run(batch):
         vocab = vocabulary(model)
-        if not task:
-            task.append(Kept(variants or SHELVES, cores_of(model, skip, seed, variants)))
-        kept = task[0]
-        keys, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        if variants and not task:
+            task.append(Kept(variants, cores_of(model, skip, seed, variants)))
+        keys = batch.column(1).to_pylist()
         # In pieces, because ids take more room than the text they stand for.
-        for at in range(0, len(texts), 256):
-            raws = texts[at : at + 256]
+        for at, to in parts_by_size(batch.column(2), CHARS):
+            raws = batch.column(2).slice(at, to - at).to_pylist()
             pages = [raw.decode("utf-8", "surrogatepass") for raw in raws]
-            made = vocab.encode_many(pages, skip, seed, variants, keys[at : at + 256], kept)
-            ids = [np.frombuffer(m, "<i4") for m in made]
+            if variants:
+                made = vocab.encode_many(pages, skip, seed, variants, keys[at:to], task[0])
+                ids, ends = np.frombuffer(b"".join(made), "<i4"), np.cumsum([0, *(len(m) // 4 for m in made)])
+            else:
+                ids, ends = vocab.encode_each(pages, skip, seed, keys[at:to])
             yield {
-                "id": batch.column(0).slice(at, 256),
-                "pieces": ids,
-                "n_pieces": list(map(len, ids)),
+                "id": batch.column(0).slice(at, to - at),
+                "pieces": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
+                "n_pieces": np.diff(ends),
                 "text_chars": list(map(len, pages)),
-                "lossless": [vocab.bytes_from(m) == raw for m, raw in zip(made, raws)],
+                "lossless": [made == raw for made, raw in zip(vocab.decode_each(ids, ends), raws)],
             }
 
     kind = docs.schema[id].dataType.simpleString()

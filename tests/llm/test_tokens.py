@@ -192,6 +192,26 @@ def test_what_is_kept_changes_no_draws(documents, monkeypatch):
             assert [m for at in range(0, len(texts), 7) for m in vocab.encode_many(texts[at : at + 7], 0.3, 3, 0, keys[at : at + 7], kept)] == alone
 
 
+def test_runs_merged_together_are_those_merged_alone(monkeypatch):
+    """Of all lengths, with characters without a piece, many skips, and parts that end within a text; nothing is kept between calls."""
+    vocab, rnd = pieces.vocabulary(PIECES), random.Random(4)
+    texts = ["", " ", "   ", "\0", "\u2581a \u2581", "\U000fe000\U0010ffff x", "\ud800 y", " lead", "trail ", "a  b", "international " * 50, "x" * 300]
+    texts += [" ".join("".join(rnd.choice("thereationsingé漢") for _ in range(rnd.randint(1, 60))) for _ in range(rnd.randint(1, 80))) for _ in range(40)]
+    keys = [rnd.randint(-(1 << 63), (1 << 63) - 1) for _ in texts]
+    for skip, part in ((0.0, 1 << 17), (0.1, 1 << 17), (0.6, 7), (1.0, 1 << 17)):
+        monkeypatch.setattr(pieces, "PART", part)
+        gaps, alone = pieces.gap_table(skip), []
+        for text, key in zip(texts, keys):
+            runs = vocab.split(text)
+            assert "".join(runs) == (" " + text if text else "")
+            drawn = pieces.place_bits(len(runs), 3, key).tolist()
+            alone.append(b"".join(vocab.encode_run(run, pieces.Skips(gaps, b)) for run, b in zip(runs, drawn)))
+        kept = pieces.Kept(2)
+        assert vocab.encode_many(texts, skip, 3, 0, keys, kept) == alone
+        assert not any(kept.late) and not any(kept.before)
+        assert vocab.decode_each(*vocab.encode_each(texts, skip, 3, keys)) == [t.encode("utf-8", "surrogatepass") for t in texts]
+
+
 def test_encoded_documents(awkward, documents, empty):
     encoded = pieces.encode_documents(awkward, PIECES)
     assert encoded.where("NOT lossless").count() == 0
