@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagtide.llm.common import free_name, map_arrow, map_batches, utf8
+from tagtide.llm.common import map_arrow, map_batches, parts_of, utf8
 
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 SYMBOLS = "#*$%&|<>"
@@ -175,12 +175,14 @@ def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str
     """The rows that pass, with all their columns. Base figures are worked out only as far as needed."""
     cascade = ordered(rules, measure(docs, rules, text, sample_rows))
     schema = docs.schema
-    mark = free_name(docs, "_utf8")
+    place = [c.lower() for c in docs.columns].index(text.lower())
 
     def run(batches):
-        for batch in batches:
+        # Texts are read as they came, without a second column of them.
+        for batch in (part for whole in batches for part in parts_of(whole, 512)):
             good = []
-            for raw in batch.column(len(schema)).to_pylist():
+            for raw in batch.column(place).cast(pa.binary()).to_pylist():
+                raw = raw or b""
                 words = raw.split()
                 page = Page(raw.decode("utf-8", "replace"), words)
                 good.append(
@@ -188,7 +190,6 @@ def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str
                     and not any(rule.rejects(page) for rule in cascade)
                     and not base_fails(len(words), repeated_words(words))
                 )
-            yield batch.filter(pa.array(good, pa.bool_())).select(range(len(schema)))
-
-    return map_arrow(docs.withColumn(mark, utf8(text)), run, schema)
+            yield batch.filter(pa.array(good, pa.bool_()))
 
+    return map_arrow(docs, run, schema)

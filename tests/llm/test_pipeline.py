@@ -7,9 +7,12 @@ from pathlib import Path
 
 import pytest
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import oracle
-from tagtide.llm import lines, mixing, pieces, quality, simhash
+from tagtide.llm import common, lines, mixing, pieces, quality, simhash
 from tagtide.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -74,3 +77,21 @@ def test_near_dedup_is_by_simhash_and_then_by_shingles(spark):
     kept = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
     joined = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.where("doc_id IS NOT NULL")).collect()}
     assert 1 not in kept and kept <= {k for k, c in joined.items() if k == c}
+
+
+def test_batches_of_a_worker_are_bounded(spark):
+    """Texts of 30 MB come in parts of some 8 MB, and what a session asks for stays."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "mb": [batch.nbytes / 1e6]})
+
+    docs = spark.range(300, numPartitions=1).select("id", F.repeat(F.lit("word "), 20_000).alias("text"))
+    found = common.map_arrow(docs, sizes, "n long, mb double").collect()
+    assert sum(r.n for r in found) == 300 and max(r.mb for r in found) < 9
+    try:
+        spark.conf.set(common.BATCH_SETTING, "2m")
+        found = common.map_arrow(docs, sizes, "n long, mb double").collect()
+        assert sum(r.n for r in found) == 300 and max(r.mb for r in found) < 3
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
