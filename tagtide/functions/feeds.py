@@ -68,10 +68,14 @@ assert len(LATIN1_ENTITIES) == 96
 XML_ENTITIES = ("amp", "lt", "gt", "quot", "apos")
 
 # Markup tokens, leftmost first: a comment, a CDATA section (either to its end or to the end of the
-# text), a tag, a run of text, a stray '<'.
-_TOKEN = r"(?s)<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[^<>]*>|[^<]+|<"
+# text), a tag that opens or closes an item, a run of text and other tags, any other tag, a stray '<'.
+# The run is possessive, so a long one needs no stack.
+_TOKEN = (
+    r"(?s)<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<item(?:\s[^<>]*)?>|</item\s*>"
+    r"|(?:[^<]++|<(?!!--|!\[CDATA\[|/?item[\s>])[^<>]*+>)++|<[^<>]*>|<"
+)
 _PIECE = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);|[^&]+|&"
-_OPEN = r"^<item(?:\s[^>]*)?>$"
+_OPEN = r"^<item(?:\s[^<>]*)?>$"
 _CLOSE = r"^</item\s*>$"
 
 
@@ -103,7 +107,10 @@ def repair(text: Column) -> Column:
 
 
 def feed_tokens(rss: Column) -> Column:
-    """The feed as markup tokens, ready for XML: comments empty, CDATA as it is, tags and text repaired."""
+    """The feed as markup tokens, ready for XML: comments empty, CDATA as it is, tags and text repaired.
+
+    What stands between two tags of items is one token, unless a comment, CDATA or a stray ``<`` cuts it.
+    """
     tokens = F.regexp_extract_all(rss, F.lit(_TOKEN), F.lit(0))
     return F.transform(
         tokens,

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 
 from conftest import rows
+from pyspark.sql import functions as F
+from tagtide.functions.feeds import feed_item_texts, feed_tokens
 from tagtide.operators.ads import broken_items, feed_items, keyed_ads, unkeyed_ads, unparsed_snapshots
 from tagtide.plans.ads import ads_from_snapshots, listed_snapshots, snapshots_to_fetch
 
@@ -123,3 +125,25 @@ def test_a_feed_is_scanned_once_and_cut_like_a_walk_over_its_tags(spark):
     assert rows(found) == whole + [("many", i, f"t{i}") for i in range(2_000)]
     assert rows(cut) == unclosed
     assert rows(feed_items(spark.createDataFrame([("a", ""), ("b", None)], "snapshot_id string, rss string"))) == []
+
+
+def test_tokens_grow_with_items_and_not_with_their_tags(spark, one):
+    """An item is three tokens however many tags it holds; stray marks, comments and CDATA are still told apart."""
+    many = rss(*(item(f"t{i} & more", "p", "u") for i in range(500)))
+    assert one(lambda text: F.size(feed_tokens(text)), many) == [3 * 500 + 2]
+    texts = [
+        "<item ><a>x & y</a></item\n>",
+        "<item><a>1</a><!-- <item> -->&nbsp;<![CDATA[</item>&]]></item>",
+        "<item>1 < 2<items></items></item>",
+        "<item><item <b></item></item x>",
+        "<item></item x></item>",
+        "<item>" + "<a>x</a>" * 100_000 + "</item>",
+    ]
+    assert one(feed_item_texts, *texts) == [
+        ["<item ><a>x &amp; y</a></item\n>"],
+        ["<item><a>1</a>&#160;<![CDATA[</item>&]]></item>"],
+        ["<item>1 &lt; 2<items></items></item>"],
+        ["<item>&lt;item <b></item>"],
+        ["<item></item x></item>"],
+        [texts[-1]],
+    ]
