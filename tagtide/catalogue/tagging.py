@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tagtide.catalogue.registry import query, table, texts
 from tagtide.catalogue.text import TAG_GRAMS_SQL
 from tagtide.constants import TAGGING_PUNCTUATION
-from tagtide.functions.text import clean_tokens, ngrams, strip_html
+from tagtide.functions.text import clean_tokens, strip_html
 from tagtide.functions.variants import tag_variants
+from tagtide.operators.layout import spread_few
+from tagtide.operators.tagging import common_grams
 from tagtide.plans.tagging import build_tag_dictionary, tag_entities, tag_mentions
 from tagtide.session import durable
 
@@ -144,10 +146,8 @@ allowed AS (
 def _text_tags(spark, sf_dir):
     """``(variants, forbidden)`` of the documents."""
     tokens = clean_tokens(strip_html(F.col("text")), punctuation=TAGGING_PUNCTUATION)
-    docs = texts(spark, sf_dir, "documents", "doc_id").select("doc_id", tokens.alias("tokens"))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(ngrams(F.col("tokens"), 2, " "))).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    top = durable(counts.filter(F.col("n") > MIN_TEXTS))
+    docs = spread_few(table(spark, sf_dir, "documents"), "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    top = durable(common_grams(docs.select(tokens.alias("tokens")), MIN_TEXTS))
     dashed = F.replace("gram", F.lit(" "), F.lit("-"))
     pairs = top.filter(F.contains("gram", F.lit(" ")))
     forbidden = pairs.select(dashed.alias("tag"), F.explode(F.split("gram", " ")).alias("sub_tag")).distinct()

@@ -3,12 +3,60 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagtide.functions.grams import Codes, packed, pairs_of_texts, unpacked, words_of_texts
 from tagtide.functions.text import placed_grams, strip_html
 from tagtide.operators.joins import small_side
+from tagtide.session import durable, share_package
+
+#: Occurrences of pairs that are summed up together, and how many lots of them there are at least and at most.
+IN_LOT, LOTS = 500_000, (251, 65_000)
+
+
+def common_grams(texts: DataFrame, more_than: int, tokens: str = "tokens") -> DataFrame:
+    """``(gram, n)``: the words and the pairs of neighbouring words that more than so many texts have, and how many have them.
+
+    A pair is in no more texts than each of its words, so pairs are counted after the words, and only those of two
+    words that are listed. Tasks sum up their pairs as numbers, which cost some three bytes in the shuffle, where
+    rows of all words and pairs would cost several times the texts.
+    """
+    share_package(texts.sparkSession)
+    alone = texts.select(tokens)
+
+    def count_words(batches):
+        for batch in batches:
+            words, n = words_of_texts(batch.column(0))
+            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
+
+    words = alone.mapInArrow(count_words, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    words = durable(words.filter(F.col("n") > more_than))
+    listed = words.toArrow().sort_by("gram")
+    names, total = listed["gram"].combine_chunks(), pc.sum(listed["n"]).as_py() or 0
+    lots = min(max(total // IN_LOT, LOTS[0]), LOTS[1])
+    stride = max(1, len(names))
+    while gcd(stride, lots) > 1:
+        stride += 1
+    codes, known = Codes(stride, lots), texts.sparkSession.sparkContext.broadcast(names)
+
+    def count_pairs(batches):
+        for lot, steps, n in packed((pairs_of_texts(batch.column(0), known.value, codes.stride) for batch in batches), codes):
+            arrays = [pa.array(lot, pa.int32()), pa.array(steps, pa.binary()), pa.array(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["lot", "steps", "n"])
+
+    def sum_up(lot: pa.Table) -> pa.Table:
+        a, b, n = unpacked(lot["lot"][0].as_py(), lot["steps"].to_pylist(), lot["n"].to_pylist(), codes)
+        often = n > more_than
+        both = [known.value.take(pa.array(x[often])).cast(pa.string()) for x in (a, b)]
+        return pa.table({"gram": pc.binary_join_element_wise(*both, " "), "n": pa.array(n[often], pa.int64())})
+
+    pairs = alone.mapInArrow(count_pairs, "lot int, steps binary, n binary").groupBy("lot").applyInArrow(sum_up, "gram string, n bigint")
+    return words.unionByName(pairs)
 
 
 def longest_variant(variants: DataFrame) -> int:
