@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagtide.catalogue.registry import query, table, texts
+from tagtide.catalogue.registry import query, table
 from tagtide.catalogue.text import TAG_GRAMS_SQL
 from tagtide.constants import TAGGING_PUNCTUATION
 from tagtide.functions.text import clean_tokens, strip_html
@@ -146,8 +146,7 @@ allowed AS (
 def _text_tags(spark, sf_dir):
     """``(variants, forbidden)`` of the documents."""
     tokens = clean_tokens(strip_html(F.col("text")), punctuation=TAGGING_PUNCTUATION)
-    docs = spread_few(table(spark, sf_dir, "documents"), "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
-    top = durable(common_grams(docs.select(tokens.alias("tokens")), MIN_TEXTS))
+    top = durable(common_grams(_laid_out(spark, sf_dir).select(tokens.alias("tokens")), MIN_TEXTS))
     dashed = F.replace("gram", F.lit(" "), F.lit("-"))
     pairs = top.filter(F.contains("gram", F.lit(" ")))
     forbidden = pairs.select(dashed.alias("tag"), F.explode(F.split("gram", " ")).alias("sub_tag")).distinct()
@@ -156,8 +155,12 @@ def _text_tags(spark, sf_dir):
     return durable(dictionary.variants), forbidden
 
 
+def _laid_out(spark, sf_dir):
+    return spread_few(table(spark, sf_dir, "documents"), "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _documents(spark, sf_dir):
-    return texts(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("entity_id"), F.col("text").alias("summary"))
+    return _laid_out(spark, sf_dir).select(F.col("doc_id").alias("entity_id"), F.col("text").alias("summary"))
 
 
 @query(_TAGGED_SQL + " SELECT doc_id AS entity_id, tag, count(*) AS n FROM matches GROUP BY ALL")

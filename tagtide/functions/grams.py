@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pairs that are sorted and summed up together in a task.
-HELD = 4_000_000
+HELD = 2_000_000
 
 
 class Codes(NamedTuple):

@@ -7,16 +7,21 @@ from math import gcd
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagtide.constants import TAGGING_PUNCTUATION
 from tagtide.functions.grams import Codes, packed, pairs_of_texts, unpacked, words_of_texts
-from tagtide.functions.text import placed_grams, strip_html
-from tagtide.operators.joins import small_side
-from tagtide.session import durable, share_package
+from tagtide.functions.matching import allowed, in_parts, lookup
+from tagtide.functions.text import clean_tokens, closed_class_words, placed_grams, strip_html
+from tagtide.operators.joins import measured_bytes, small_side
+from tagtide.session import durable, for_workers
 
 #: Occurrences of pairs that are summed up together, and how many lots of them there are at least and at most.
 IN_LOT, LOTS = 500_000, (251, 65_000)
+#: A dictionary up to this size goes to all tasks as arrays; beyond it, n-grams and variants are joined.
+MAX_LOOKUP_BYTES = 256 * 1024 * 1024
 
 
 def common_grams(texts: DataFrame, more_than: int, tokens: str = "tokens") -> DataFrame:
@@ -26,7 +31,7 @@ def common_grams(texts: DataFrame, more_than: int, tokens: str = "tokens") -> Da
     words that are listed. Tasks sum up their pairs as numbers, which cost some three bytes in the shuffle, where
     rows of all words and pairs would cost several times the texts.
     """
-    share_package(texts.sparkSession)
+    for_workers(texts.sparkSession)
     alone = texts.select(tokens)
 
     def count_words(batches):
@@ -64,6 +69,79 @@ def longest_variant(variants: DataFrame) -> int:
     return variants.agg(F.max(F.size(F.split("variant", " ")))).first()[0] or 1
 
 
+def shared_lookup(
+    variants: DataFrame, forbidden: DataFrame | None, n: int, closed_words: Sequence[str] | None, max_bytes: int = MAX_LOOKUP_BYTES
+) -> Broadcast | None:
+    """A stored dictionary as arrays that all tasks get, or nothing if it is larger than ``max_bytes``."""
+    if measured_bytes(variants) > max_bytes:
+        return None
+    spark = variants.sparkSession
+    for_workers(spark)
+    listed = variants.select("variant", "tag").where("variant IS NOT NULL").toArrow()
+    bans = pa.table({c: pa.array([], pa.string()) for c in ("tag", "sub_tag")})
+    if forbidden is not None:
+        bans = forbidden.select("tag", "sub_tag").distinct().toArrow()
+    pairs = tuple(bans[c].combine_chunks() for c in ("tag", "sub_tag"))
+    words = closed_class_words() if closed_words is None else closed_words
+    return spark.sparkContext.broadcast(lookup(listed["variant"].combine_chunks(), listed["tag"].combine_chunks(), pairs, n, words))
+
+
+def _with_tokens(entities: DataFrame, field: str, entity: str) -> DataFrame:
+    tokens = clean_tokens(strip_html(F.col(field)), punctuation=TAGGING_PUNCTUATION)
+    return entities.select(entity, tokens.alias("tokens"))
+
+
+def look_up_tags(entities: DataFrame, known: Broadcast, field: str = "summary", entity: str = "entity_id", drop: bool = False) -> DataFrame:
+    """``(entity, pos, tag)``: the n-grams of each text that are variants, looked up where the text lies.
+
+    With ``drop``, without the tags that others of the same row forbid. Matches are dealt out by entity as numbers, some
+    five bytes each, so that texts are not shuffled and grouping by entity takes no other shuffle.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part, found in in_parts(batch.column(1), known.value):
+                found = allowed(found, known.value) if drop else found
+                arrays = [batch.column(0)[part], *(found.lists(pa.array(x, pa.int32())) for x in (found.pos, found.tag))]
+                yield pa.RecordBatch.from_arrays(arrays, [entity, "pos", "number"])
+
+    kind = entities.schema[entity].dataType.simpleString()
+    placed = _with_tokens(entities, field, entity).mapInArrow(run, f"`{entity}` {kind}, pos array<int>, number array<int>")
+    rows = placed.repartition(entity).select(entity, F.inline(F.arrays_zip("pos", "number")))
+    names = known.value.tags
+    numbered = pa.table({"number": pa.array(range(len(names)), pa.int32()), "tag": names.cast(pa.string())})
+    tags = durable(entities.sparkSession.createDataFrame(numbered))
+    return rows.join(small_side(tags), "number").select(entity, "pos", "tag")
+
+
+def bags_of_tags(entities: DataFrame, known: Broadcast, into: str, field: str = "summary", entity: str = "entity_id", drop: bool = False) -> DataFrame:
+    """``(entity, into)``: the tags of each row's text in text order, with ``drop`` without those that others of them forbid."""
+
+    def run(batches):
+        tags = known.value.tags
+        valid = pc.is_valid(tags).to_numpy(zero_copy_only=False)
+        for batch in batches:
+            for part, found in in_parts(batch.column(1), known.value):
+                found = allowed(found, known.value) if drop else found
+                named = valid[found.tag]
+                found = found._replace(text=found.text[named], pos=found.pos[named], tag=found.tag[named])
+                bags = found.lists(tags.take(pa.array(found.tag)).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], bags], [entity, into])
+
+    kind = entities.schema[entity].dataType.simpleString()
+    return _with_tokens(entities, field, entity).mapInArrow(run, f"`{entity}` {kind}, `{into}` array<string>")
+
+
+def split_repeated(entities: DataFrame, entity: str = "entity_id") -> tuple[DataFrame, DataFrame | None]:
+    """Entities that stand in one row, and those that stand in several, if there are any. Only their ids are shuffled."""
+    counts = entities.groupBy(entity).agg(F.count("*").alias("_rows"))
+    repeated = durable(counts.filter(F.col("_rows") > 1).select(F.col(entity).alias("_repeated")))
+    if repeated.isEmpty():
+        return entities, None
+    same = F.col(entity).eqNullSafe(F.col("_repeated"))
+    return entities.join(small_side(repeated), same, "left_anti"), entities.join(small_side(repeated), same, "left_semi")
+
+
 def entity_ngrams(
     entities: DataFrame,
     field: str = "summary",

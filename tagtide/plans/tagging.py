@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
 from tagtide.operators.dictionary import build_variants, live_synonyms, main_tags, tag_length_histogram, usable_tags
-from tagtide.operators.tagging import collect_tags, drop_forbidden, entity_ngrams, longest_variant, match_tags
+from tagtide.operators.tagging import (
+    bags_of_tags,
+    collect_tags,
+    drop_forbidden,
+    entity_ngrams,
+    longest_variant,
+    look_up_tags,
+    match_tags,
+    shared_lookup,
+    split_repeated,
+)
 
 
 class TagDictionary(NamedTuple):
@@ -44,11 +55,21 @@ def tag_mentions(
     """``(entity, pos, tag)``: every mention of a tag that no other tag of the text forbids.
 
     ``pos`` orders the mentions of a text: longer n-grams first, then by place. ``variants`` is
-    read a few times and should be a stored table.
+    read a few times and should be a stored table. Texts are looked up where they lie, and tags that another one of the same
+    row forbids go there, too; only the matches of entities with several rows have to meet for that.
     """
-    longest = min(n, longest_variant(variants))
-    matches = match_tags(entity_ngrams(entities, field, entity, n, closed_words, longest), variants, entity)
-    return matches if forbidden is None else drop_forbidden(matches, forbidden, entity)
+    known = shared_lookup(variants, forbidden, n, closed_words)
+    if known is None:
+        longest = min(n, longest_variant(variants))
+        matches = match_tags(entity_ngrams(entities, field, entity, n, closed_words, longest), variants, entity)
+        return matches if forbidden is None else drop_forbidden(matches, forbidden, entity)
+    if forbidden is None:
+        return look_up_tags(entities, known, field, entity)
+    alone, repeated = split_repeated(entities, entity)
+    matches = look_up_tags(alone, known, field, entity, drop=True)
+    if repeated is None:
+        return matches
+    return matches.unionByName(drop_forbidden(look_up_tags(repeated, known, field, entity), forbidden, entity))
 
 
 def tag_entities(
@@ -60,6 +81,13 @@ def tag_entities(
     entity: str = "entity_id",
     closed_words: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``(entity, <field>_tags)``: the bag of tags of each text."""
-    mentions = tag_mentions(entities, variants, forbidden, n, field, entity, closed_words)
-    return collect_tags(entities, mentions, f"{field}_tags", entity)
+    """``(entity, <field>_tags)``: the bag of tags of each text; an entity of several rows has one bag."""
+    known = shared_lookup(variants, forbidden, n, closed_words)
+    alone, repeated = (None, entities) if known is None else split_repeated(entities, entity)
+    bags = []
+    if alone is not None:
+        bags.append(bags_of_tags(alone, known, f"{field}_tags", field, entity, drop=forbidden is not None))
+    if repeated is not None:
+        mentions = tag_mentions(repeated, variants, forbidden, n, field, entity, closed_words)
+        bags.append(collect_tags(repeated, mentions, f"{field}_tags", entity))
+    return reduce(DataFrame.unionByName, bags)

@@ -162,3 +162,89 @@ def test_stored_stems_are_broadcast(spark):
     stemmed = T.stem_tokens(tokens, stems)
     assert "BroadcastHashJoin" in stemmed._jdf.queryExecution().executedPlan().toString()
     assert rows(stemmed.groupBy("token").count()) == [("h", 100), ("o", 100)]
+
+
+def _awkward(spark):
+    """Texts with repeated and null ids, null texts, closed words, pairs that overlap, and words that no variant has."""
+    rng = random.Random(3)
+    words = ["a", "b", "c", "the", "of", "zz", "x-y", "<b>", "&amp;", "d"]
+    made = [(rng.choice([None, *range(60)]), " ".join(rng.choices(words, k=rng.randrange(9)))) for _ in range(50)]
+    data = [*made, (100, None), (100, "a b"), (101, "b"), (102, ""), (None, None), (103, "a b the c d"), (104, None)]
+    entities = spark.createDataFrame(data, "entity_id bigint, summary string")
+    named = [("a", "a"), ("a b", "a-b"), ("b", "b"), ("a b", "t"), ("the", "the"), ("b the c d", "long"), ("x-y", "x-y"), ("d", None), (None, "n")]
+    pairs = [("a-b", "a"), ("a-b", "b"), ("long", "c"), ("x-y", "x-y"), ("t", None), (None, "a"), ("absent", "a")]
+    return entities, spark.createDataFrame(named, "variant string, tag string"), spark.createDataFrame(pairs, "tag string, sub_tag string")
+
+
+@pytest.fixture
+def joined(monkeypatch):
+    """Call with the dictionary joined to n-grams, as it is where it is too large for the tasks."""
+
+    def call(function, *args, **kwargs):
+        with monkeypatch.context() as m:
+            m.setattr(T.shared_lookup, "__defaults__", (-1,))
+            return rows(function(*args, **kwargs))
+
+    return call
+
+
+def _in_order(found):
+    """Tags of one place come in any order where a variant has several."""
+    return sorted(found, key=repr)
+
+
+@pytest.mark.parametrize("banned", [False, True])
+def test_looking_up_equals_joining(spark, joined, banned):
+    entities, named, forbidden = _awkward(spark)
+    args, n = (entities, named, forbidden if banned else None), 4 if banned else 3
+    mentions, bags = (_in_order(tuple(r) for r in made(*args, n=n).collect()) for made in (tag_mentions, tag_entities))
+    assert mentions == _in_order(joined(tag_mentions, *args, n=n)) != []
+    assert bags == _in_order(joined(tag_entities, *args, n=n))
+
+
+def test_tagging_texts_shuffles_nothing(spark, entities, variants):
+    """Neither texts nor matches are sorted or shuffled where each entity has one row."""
+    forbidden = spark.createDataFrame([("ruby-on-rails", "ruby")], "tag string, sub_tag string")
+    for bans in (None, forbidden):
+        plan = tag_entities(entities, variants, bans)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Sort", "Window"))
+
+
+def test_common_grams_match_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [[rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(12))] for _ in range(200)] + [None, []]
+    counts = {}
+    for text in texts:
+        pairs = [" ".join(x) for x in zip(text or [], (text or [])[1:])]
+        for gram in {*(text or []), *pairs}:
+            counts[gram] = counts.get(gram, 0) + 1
+    df = spark.createDataFrame([(t,) for t in texts], "tokens array<string>").repartition(3)
+    for more_than in (0, 1, 9, 40, 10_000):
+        assert rows(T.common_grams(df, more_than)) == sorted((g, n) for g, n in counts.items() if n > more_than)
+
+
+def test_pairs_are_summed_up_in_lots():
+    import numpy as np
+    import pyarrow as pa
+
+    from tagtide.functions import grams as G
+
+    codes, seen = G.Codes(1_000_003, 7), {}
+    texts = [[f"w{i * i % 31}" for i in range(j, j + 40)] for j in range(30)]
+    words = pa.array(sorted({w for t in texts for w in t} - {"w1"}))
+    pieces = [G.pairs_of_texts(pa.array(texts[i : i + 8]), words, codes.stride) for i in range(0, 30, 8)]
+    before, G.HELD = G.HELD, 50
+    try:
+        lots = [(int(k), s, n) for piece in G.packed(iter(pieces), codes) for k, s, n in zip(*piece, strict=True)]
+    finally:
+        G.HELD = before
+    assert len({k for k, _, _ in lots}) == 7 < len(lots)
+    for lot in {k for k, _, _ in lots}:
+        a, b, n = G.unpacked(lot, [s for k, s, _ in lots if k == lot], [c for k, _, c in lots if k == lot], codes)
+        seen |= {(words[int(x)].as_py(), words[int(y)].as_py()): int(z) for x, y, z in np.stack([a, b, n], 1)}
+    want = {}
+    for text in texts:
+        for pair in set(zip(text, text[1:])):
+            if "w1" not in pair:
+                want[pair] = want.get(pair, 0) + 1
+    assert seen == want
