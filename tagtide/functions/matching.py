@@ -54,34 +54,35 @@ def lookup(variants: pa.Array, tags: pa.Array, forbidden: tuple[pa.Array, pa.Arr
     """``tags`` stand beside their ``variants``; ``forbidden`` are tags and, beside them, the tags that they forbid."""
     names = pc.unique(tags)
     names = names.take(pc.sort_indices(names))
-    tag = _numbers(tags, names)
+    tag, size = _numbers(tags, names).astype(np.int32), max(1, len(names))
+    valid = pc.and_(*(pc.is_valid(x) for x in forbidden)).to_numpy(zero_copy_only=False)
+    bans, banned = (_numbers(x.cast(names.type), names) for x in forbidden)
+    valid &= (bans >= 0) & (banned >= 0)
+    bans = np.unique(bans[valid] * size + banned[valid])
+    bans, banned = bans // size, (bans % size).astype(np.int32)
     parts = pc.split_pattern(variants, " ")
     lengths, flat = pc.list_value_length(parts).to_numpy(), parts.flatten()
     words = pc.unique(pa.concat_arrays([flat, pa.array(sorted(set(closed_words)), flat.type)]))
-    number, begins = _numbers(flat, words), np.append(0, np.cumsum(lengths))[:-1]
-    levels, node = [], np.zeros(len(variants), np.int64)
+    number, begins = _numbers(flat, words).astype(np.int32), np.append(0, np.cumsum(lengths, dtype=np.int64))[:-1]
+    del parts, flat
+    levels, node = [], None
     for size in range(1, n + 1):
         longer = lengths >= size
-        node = node[longer] if size > 1 else node
-        variants_here = begins[longer] + size - 1
         tag, lengths, begins = tag[longer], lengths[longer], begins[longer]
-        codes = None
+        last, codes, nodes = number[begins + size - 1], None, len(words)
         if size == 1:
-            node, nodes = number[variants_here], len(words)
+            node = last
         else:
-            code = node * len(words) + number[variants_here]
-            codes, node = np.unique(code, return_inverse=True)
+            codes, node = np.unique(node[longer] * np.int64(len(words)) + last, return_inverse=True)
             nodes = len(codes)
         ends = lengths == size
         order = np.lexsort((tag[ends], node[ends]))
-        levels.append(Level(codes, _starts(node[ends], nodes), tag[ends][order].astype(np.int32)))
-    bans = np.stack([_numbers(x.cast(names.type), names) for x in forbidden])
-    bans = np.unique(bans[:, (bans >= 0).all(0) & pc.is_valid(forbidden[0]).to_numpy(False) & pc.is_valid(forbidden[1]).to_numpy(False)], axis=1)
+        levels.append(Level(codes, _starts(node[ends], nodes), tag[ends][order]))
     closed = pa.array(sorted(set(closed_words)), words.type)
     alone = ~pc.is_in(words, value_set=closed).to_numpy(zero_copy_only=False)
     while len(levels) > 1 and not len(levels[-1].tags):
         levels.pop()
-    return Lookup(words, alone, levels, names, _starts(bans[0], len(names)), bans[1], n)
+    return Lookup(words, alone, levels, names, _starts(bans, len(names)), banned, n)
 
 
 class Matches(NamedTuple):

@@ -22,6 +22,8 @@ from tagtide.session import durable, for_workers
 IN_LOT, LOTS = 500_000, (251, 65_000)
 #: A dictionary up to this size goes to all tasks as arrays; beyond it, n-grams and variants are joined.
 MAX_LOOKUP_BYTES = 256 * 1024 * 1024
+#: The names of its tags are joined by number; up to this size they are broadcast.
+MAX_NAME_BYTES = 128 * 1024 * 1024
 
 
 def common_grams(texts: DataFrame, more_than: int, tokens: str = "tokens") -> DataFrame:
@@ -111,7 +113,7 @@ def look_up_tags(entities: DataFrame, known: Broadcast, field: str = "summary",
     names = known.value.tags
     numbered = pa.table({"number": pa.array(range(len(names)), pa.int32()), "tag": names.cast(pa.string())})
     tags = durable(entities.sparkSession.createDataFrame(numbered))
-    return rows.join(small_side(tags), "number").select(entity, "pos", "tag")
+    return rows.join(small_side(tags, MAX_NAME_BYTES), "number").select(entity, "pos", "tag")
 
 
 def bags_of_tags(entities: DataFrame, known: Broadcast, into: str, field: str = "summary", entity: str = "entity_id", drop: bool = False) -> DataFrame:
