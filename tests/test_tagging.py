@@ -210,6 +210,16 @@ def test_tagging_texts_shuffles_nothing(spark, entities, variants):
         assert not any(x in plan for x in ("Exchange", "Sort", "Window"))
 
 
+def test_mentions_travel_as_numbers(spark, entities, variants):
+    """Texts stay where they are, and counting by entity and tag takes no shuffle but the one of the matches."""
+    forbidden = spark.createDataFrame([("ruby-on-rails", "ruby")], "tag string, sub_tag string")
+    for bans in (None, forbidden):
+        counted = tag_mentions(entities, variants, bans).groupBy("entity_id", "tag").count()
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Sort" not in plan and "Window" not in plan
+        assert plan.index("Exchange hashpartitioning") < plan.index("MapInArrow")
+
+
 def test_common_grams_match_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     texts = [[rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(12))] for _ in range(200)] + [None, []]
